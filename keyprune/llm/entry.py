@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, flac, langid, quality
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (bpe.op1_bpe,)}
+    return {f.__name__: f for f in (bpe.op1_bpe, quality.op4_quality, langid.op5_langid, flac.op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
