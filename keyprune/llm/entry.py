@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, flac, langid, quality
+from . import bpe, flac, langid, mixing, quality, urls
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (bpe.op1_bpe, quality.op4_quality, langid.op5_langid, flac.op10_media)}
+    return {f.__name__: f for f in (bpe.op1_bpe, quality.op4_quality, langid.op5_langid, urls.op6_urls, mixing.op7_mix, flac.op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mix": mixing.OP7_SQL}
