@@ -99,21 +99,25 @@ def _table(counts: list[int]) -> Column:
 
 def ratio(host: Column, path: Column, model: tuple[list[int], list[int]]) -> Column:
     """Mean log ratio of the two models' probabilities, over the characters of host and path."""
-    s = _marked(host, path)
     tables = [_table(m) for m in model]
 
     def log_p(slots: Column, table: Column) -> Column:
-        n = F.transform(slots, lambda x: F.get(table, x))
         # from the lowest order on: the accumulator is p_(k-1)
-        p = F.aggregate(F.sequence(F.lit(0), F.lit(ORDERS - 1)), F.lit(1 / 256), lambda p, k: (F.get(n, 2 * k + 1) + SMOOTH * p) / (F.get(n, 2 * k) + SMOOTH))
-        return F.ln(p)
+        step = lambda n: F.aggregate(F.sequence(F.lit(0), F.lit(ORDERS - 1)), F.lit(1 / 256), lambda p, k: (F.get(n, 2 * k + 1) + SMOOTH * p) / (F.get(n, 2 * k) + SMOOTH))
+        return F.ln(_let(F.transform(slots, lambda x: F.get(table, x)), step))
 
-    def at(i: Column) -> Column:
-        slots = F.array(*map(_slot, _grams(s, i)))
-        return log_p(slots, tables[0]) - log_p(slots, tables[1])
+    def at(s: Column, i: Column) -> Column:
+        return _let(F.array(*map(_slot, _grams(s, i))), lambda slots: log_p(slots, tables[0]) - log_p(slots, tables[1]))
 
-    total = F.aggregate(F.transform(_positions(s), at), F.lit(0.0), lambda a, x: a + x)
-    return total / F.greatest(F.length(s) - ORDERS, F.lit(1))
+    def mean(s: Column) -> Column:
+        return F.aggregate(_positions(s), F.lit(0.0), lambda a, i: a + at(s, i)) / F.greatest(F.length(s) - ORDERS, F.lit(1))
+
+    return _let(_marked(host, path), mean)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once where body uses it more than once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
