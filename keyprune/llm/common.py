@@ -29,14 +29,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder, so that a lost executor loses nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """As `cut`, but as compressed Parquet; for larger results and columns read one at a time."""
+    """Cut the lineage by a Parquet table in the shared folder: computed once, and no lost executor loses it."""
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -68,12 +68,13 @@ def _with_next(docs: DataFrame) -> DataFrame:
     wide = max(1, math.isqrt(len(cuts)))
     coarse = F.size(F.filter(_literal(cuts[::wide], "bigint"), lambda b: b <= F.col("doc_id")))
     fine = F.size(F.filter(F.slice(_literal(cuts, "bigint"), (F.greatest(F.col("__c"), F.lit(1)) - 1) * wide + 1, F.lit(wide)), lambda b: b <= F.col("doc_id")))
-    docs = docs.withColumn("__c", F.coalesce(coarse, F.lit(0))).withColumn("part", F.when(F.col("doc_id").isNull(), -1).when(F.col("__c") == 0, 0).otherwise((F.col("__c") - 1) * wide + fine)).drop("__c")
+    docs = docs.withColumn("__c", F.coalesce(coarse, F.lit(0))).withColumn("part", F.coalesce(F.when(F.col("doc_id").isNull(), -1).when(F.col("__c") == 0, 0).otherwise((F.col("__c") - 1) * wide + fine), F.lit(0))).drop("__c")
     tops = {r.part: r.top for r in docs.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}  # at most n + 1 rows
     order = sorted(tops, reverse=True)
     first = docs.filter(F.col("doc_id").isin([t for t in tops.values() if t is not None]) | F.col("doc_id").isNull()).groupBy("part", "doc_id").agg(F.min("text").alias("text"))
     above = F.get(_literal(order, "int"), F.pmod(F.array_position(_literal(order, "int"), F.col("part")).cast("int") - 2, F.lit(max(1, len(order)))))
     both = docs.withColumn("head", F.lit(0)).unionByName(first.withColumn("part", above).withColumn("head", F.lit(1)))
+    both = both.withColumn("part", F.coalesce("part", F.lit(0))).repartition(n, "part")  # never null: both uses of the shuffle then are the same plan
     w = Window.partitionBy("part").orderBy("head", F.desc_nulls_last("doc_id"), "text")
     return both.withColumn("rn", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w))
 

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import read, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -58,7 +58,7 @@ def _planned(docs: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     hottest = docs.groupBy("source").count().agg(F.max("count")).head()[0] or 1
     digits = max(1, math.ceil(math.log(max(1, hottest / RANGE_ROWS), 16)))
     keyed = _keyed(docs, digits)
-    ranges = cut(keyed.groupBy("__source", "__range").agg(F.sum("__size").alias("words"), F.count("*").alias("rows")))
+    ranges = stored(keyed.groupBy("__source", "__range").agg(F.sum("__size").alias("words"), F.count("*").alias("rows")))
     w = Window.partitionBy("__source", "__range").orderBy("__key", "doc_id", "__size")
     rows = keyed.join(_budgets(ranges, weights, most), ["__source", "__range"])
     before = F.col("before") + F.sum("__size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")
