@@ -5,9 +5,13 @@ similarity reaches num / den, that is when they share at least T = num (a + b) /
 
 1. Equal sets become one vertex.
 2. Every set posts the first a - ceil(a num / den) + 1 shingles of one global order; sets that link share one
-   of these. The order puts shingles last that stand in very many documents (told by counts in hashed slots),
-   so that passages shared by unlike documents gather nobody. Sets that share a posted shingle are joined into
-   blocks (connected components, over each shingle's smallest vertex: no pairs are made).
+   of these. The order goes by the expected frequency of a shingle, from its words' counts over all documents,
+   so that rare ones are posted; shingles that stand in very many documents come last of all (both counts lie
+   in hashed slots of bounded number), so that passages shared by unlike documents gather nobody. Of the sets that
+   share a posted shingle those are joined into blocks (connected components) whose sizes and parity sketches
+   allow a link: a sketch has a bit for each hash slot, the parity of the set's shingles there, so that two
+   sets differ in at least as many shingles as their sketches in bits. No pairs leave a task, only trees; a
+   shingle of more than CROWD sets joins all of them.
 3. In each block runs the T-occurrence search: for each set, its long inverted lists are laid aside (DivideSkip),
    the short ones are merged in a heap or, where they are many, by sorting, the sets that occur T - L times are
    kept, and the L long lists are probed for these by binary search. What reaches T is a link.
@@ -38,6 +42,8 @@ from .graph import components
 UNIT = 3_000_000
 #: Hashed slots for the counts that order the shingles.
 SLOTS = 1 << 20
+#: Sets of one posted shingle up to which these are told apart by their sketches.
+CROWD = 1500
 #: Weight of a list's length in DivideSkip's choice of long lists.
 MU = 0.01
 
@@ -58,49 +64,133 @@ class Shingler:
         if len(self.known) > 300_000:
             self.known.clear()
         w = (text or "").encode().lower().split()  # bytes: only A-Z change, and only ASCII white space splits
+        self.hashes = h = np.fromiter(map(self.known.__getitem__, w), np.uint64, len(w))
         if not w:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.known.__getitem__, w), np.uint64, len(w))
+            return h
         n = self.words
         if len(h) < n:
             return mix64(np.array([xxhash.xxh3_64_intdigest(b"\x00".join(w))], np.uint64))
         x = h[: len(h) - n + 1].copy()
         for i in range(1, n):
             x = mix64(x) + h[i : len(h) - n + 1 + i]
-        x = np.sort(mix64(x))
+        self.every = x = mix64(x)
+        x = np.sort(x)
         return x[np.concatenate(([True], x[1:] != x[:-1]))]
 
+    def first(self, s: np.ndarray, k: int, late: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """The first k of s, the set of the last text, in the global order: not late, then by the words' counts, then by hash."""
+        if len(self.hashes) < self.words:
+            return s
+        x, w = self.every, common[_slot(self.hashes)]
+        weight = sum(w[i : i + len(x)] for i in range(self.words)).astype(np.uint64)
+        key = late[_slot(x)].astype(np.uint64) << np.uint64(63) | np.minimum(weight, np.uint64(127)) << np.uint64(56) | x >> np.uint64(8)
+        order = np.argsort(key, kind="stable")
+        x = x[order]
+        return x[np.concatenate(([True], x[1:] != x[:-1]))][:k]
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(44)).astype(np.int64)
+
 
 def vertex(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) >> 1
 
 
-def _describe(docs: DataFrame, words: int) -> DataFrame:
-    """One row for each document (doc_id, n, v), and rows (slot, hits) for a task's slots of unusually high count."""
+def sketch(shingles: np.ndarray, num: int, den: int) -> bytes:
+    """Parities in a power of two of bits, some four for each shingle in which a set of this size may differ from one it links with."""
+    differ = len(shingles) * (den - num) / num
+    bits = 1 << max(8, int(np.ceil(np.log2(4 * differ + 1))))
+    parity = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(a: int, x: int, x_bits: int, b: int, y: int, y_bits: int, num: int, den: int) -> bool:
+    """Whether sets of sizes a <= b with sketches x, y (as numbers) can link; a longer sketch folds onto the shorter."""
+    if den * a < num * b:
+        return False
+    while y_bits > x_bits:
+        y_bits >>= 1
+        y = (y >> y_bits) ^ (y & (1 << y_bits) - 1)
+    return (num + den) * (x ^ y).bit_count() <= (den - num) * (a + b)
+
+
+def _near(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges a, b among the sets of each token that may link, from rows token, v, n, sketch: a tree for each token's components."""
+
+    def trees(vs: list[int], ns: list[int], sketches: list[bytes]) -> list[tuple[int, int]]:
+        if len(vs) > CROWD:
+            return [(v, vs[0]) for v in vs[1:]]
+        order = sorted(range(len(vs)), key=lambda i: (ns[i], len(sketches[i])))
+        items = [(ns[i], int.from_bytes(sketches[i], "little"), 8 * len(sketches[i])) for i in order]
+        forest = Forest(len(items))
+        for i, x in enumerate(items):
+            for j in range(i + 1, len(items)):
+                if num * items[j][0] > den * x[0]:
+                    break
+                if forest.find(i) != forest.find(j) and may_link(*x, *items[j], num, den):
+                    forest.join(i, j)
+        return [(vs[order[i]], vs[order[r]]) for i in range(len(items)) if (r := forest.find(i)) != i]
+
+    def run(batches):
+        token, last, vs, ns, sketches = None, None, [], [], []
+        for b in batches:
+            out = []
+            for t, v, n, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if t != token:
+                    if len(vs) > 1:
+                        out += trees(vs, ns, sketches)
+                    token, last, vs, ns, sketches = t, None, [], [], []
+                if v == last:
+                    continue
+                last = v
+                if len(vs) > CROWD:  # only its first is needed from here on
+                    out.append((v, vs[0]))
+                else:
+                    vs.append(v)
+                    ns.append(n)
+                    sketches.append(s)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+        if len(vs) > 1 and (out := trees(vs, ns, sketches)):
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+
+    return map_arrow(rows.select("token", "v", "n", "sketch").repartition(2 * parts(rows.sparkSession), "token").sortWithinPartitions("token", "v"), run, "a long, b long")
+
+
+def _describe(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """One row for each document (doc_id, n, v, sketch), and rows (slot, hits) of a task: slots of shingles with unusually high counts, and
+    from SLOTS on those of words that are not rare."""
+
+    names = ["doc_id", "n", "v", "slot", "hits", "sketch"]
 
     def run(batches):
         cut_up = Shingler(words)
-        counts = np.zeros(SLOTS, np.int64)
+        counts, words_seen = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
         total = 0
         for b in batches:
-            ids, ns, vs = b.column(0), [], []
+            ids, ns, vs, sketches = b.column(0), [], [], []
             for t in b.column(1).to_pylist():
                 s = cut_up(t)
                 ns.append(len(s))
                 vs.append(vertex(s) if len(s) else None)
+                sketches.append(sketch(s, num, den))
                 total += len(s)
-                np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
+                np.add.at(counts, _slot(s), 1)
+                np.add.at(words_seen, _slot(cut_up.hashes), 1)
             none = pa.nulls(len(ns), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(vs, pa.int64()), none, none], names=["doc_id", "n", "v", "slot", "hits"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(vs, pa.int64()), none, none, pa.array(sketches, pa.binary())], names=names)
         mean = total / SLOTS
         high = np.flatnonzero(counts > mean + 6 * np.sqrt(mean) + 6)
-        none = pa.nulls(len(high), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(high), pa.array(counts[high] - int(mean))], names=["doc_id", "n", "v", "slot", "hits"])
+        known = np.flatnonzero(words_seen >= 2)
+        none = pa.nulls(len(high) + len(known), pa.int64())
+        slots, hits = np.concatenate((high, SLOTS + known)), np.concatenate((counts[high], words_seen[known]))
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(slots), pa.array(hits), pa.nulls(len(slots), pa.binary())], names=names)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, v long, slot long, hits long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, v long, slot long, hits long, sketch binary")
 
 
-def _posts(docs: DataFrame, words: int, num: int, den: int, late: np.ndarray) -> DataFrame:
+def _posts(docs: DataFrame, words: int, num: int, den: int, late: np.ndarray, common: np.ndarray) -> DataFrame:
     """token, v: the first shingles of each set in the global order."""
 
     def run(batches):
@@ -114,10 +204,9 @@ def _posts(docs: DataFrame, words: int, num: int, den: int, late: np.ndarray) ->
                 if len(seen) < 200_000:
                     seen.add(v)
                 k = len(s) - -(-len(s) * num // den) + 1
-                last = late[(s >> np.uint64(44)).astype(np.int64)]
-                tokens.append(np.concatenate((s[~last], s[last]))[:k])
+                tokens.append(cut_up.first(s, k, late, common))
                 vs.append(v)
-                ns.append(k)
+                ns.append(len(tokens[-1]))
             if vs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(vs, np.int64), ns))], names=["token", "v"])
 
@@ -261,14 +350,20 @@ def _search(docs: DataFrame, units: DataFrame, words: int, num: int, den: int) -
 
 def groups(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    described = stored(_describe(docs, words))
-    meta = described.filter("slot is null").select("doc_id", "n", "v")
+    described = stored(_describe(docs, words, num, den))
+    meta = described.filter("slot is null").select("doc_id", "n", "v", "sketch")
     hits = described.filter("slot is not null").groupBy("slot").agg(F.sum("hits").alias("h"))
-    late = np.zeros(SLOTS, bool)
-    late[[r.slot for r in hits.collect()]] = True  # at most SLOTS numbers
-    posts = _posts(docs, words, num, den, late).repartition(parts(docs.sparkSession), "token")
-    shared = posts.groupBy("token").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low != high").select("token", "low")
-    near = posts.join(shared, "token").select(F.col("v").alias("a"), F.col("low").alias("b"))
+    hits = hits.toPandas()  # at most 2 * SLOTS rows
+    slot, hit = hits.slot.to_numpy(np.int64), hits.h.to_numpy(np.int64)
+    late, common = np.zeros(SLOTS, bool), np.zeros(SLOTS, np.uint8)
+    late[slot[slot < SLOTS]] = True
+    common[slot[slot >= SLOTS] - SLOTS] = np.log2(hit[slot >= SLOTS]).astype(np.uint8)
+    posts = _posts(docs, words, num, den, late, common).repartition(parts(docs.sparkSession), "token")
+    # tokens of one and the same group of sets: one of them stands for all
+    shared = posts.groupBy("token").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("k"), F.sum(F.shiftright("v", 31)).alias("x")).filter("low != high")
+    shared = shared.groupBy("low", "high", "k", "x").agg(F.min("token").alias("token"))
+    drawn = meta.filter("v is not null").groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    near = _near(posts.join(shared.select("token"), "token").join(drawn, "v"), num, den)
     blocks = stored(components(near).select(F.col("node").alias("v"), F.col("root").alias("block")))
     vertices = meta.filter("v is not null and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     members = stored(blocks.join(vertices, "v"))
