@@ -8,6 +8,7 @@ it proves the query empty. Fragments that timed out, failed or grew too large ha
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,10 +29,11 @@ class Store:
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         if not fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs_path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
-    def _note(self, rows: list[tuple]) -> None:
-        self.spark.createDataFrame(rows, _QUERIES).coalesce(1).write.mode("append").parquet(f"{self.root}/queries")
+    def _note(self, rows: list[tuple], name: str = "queries", schema: str = _QUERIES) -> None:
+        """Each writer has a folder of its own, so that writers at the same time do not meet."""
+        self.spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{self.root}/{name}/{uuid.uuid4().hex}")
 
     def register(self, partition_key: str, datatype: str) -> None:
         """A key's type is fixed once it is known."""
@@ -41,7 +43,7 @@ class Store:
         if known and known != datatype:
             raise ValueError(f"{partition_key} is {known}")
         if not known:
-            self.spark.createDataFrame([(partition_key, datatype, time.time_ns())], _PARTITIONS).write.mode("append").parquet(f"{self.root}/partitions")
+            self._note([(partition_key, datatype, time.time_ns())], "partitions", _PARTITIONS)
             self.types[partition_key] = datatype
 
     def datatype(self, partition_key: str) -> str | None:
@@ -60,12 +62,12 @@ class Store:
         self.register(partition_key, datatype)
         version = time.time_ns()
         values = keys.select(F.col(keys.columns[0]).cast(TYPES[datatype]).alias("pk")).filter("pk is not null").distinct()
-        path = f"{self.root}/entries/{partition_key}"
+        path = f"{self.root}/entries/{partition_key}/{query_hash}-{version}"
         if limit is not None and values.limit(limit + 1).count() > limit:
             self._note([(query_hash, partition_key, query, FAILED, None, None, version)])
             return FAILED
-        values.select(F.lit(query_hash).alias("query_hash"), F.lit(version).alias("version"), "pk").write.mode("append").parquet(path)
-        n = self.spark.read.parquet(path).filter((F.col("query_hash") == query_hash) & (F.col("version") == version)).count()
+        values.select(F.lit(query_hash).alias("query_hash"), F.lit(version).alias("version"), "pk").write.parquet(path)
+        n = self.spark.read.schema(f"query_hash string, version long, pk {TYPES[datatype]}").parquet(path).count()
         seen = self.spark.sql("select current_timestamp() as t").head().t
         self._note([(query_hash, partition_key, query, OK, n, seen, version)])
         return OK
@@ -80,7 +82,7 @@ class Store:
         rows = self.queries(partition_key).select("query_hash").collect()
         if rows:
             self._note([(r.query_hash, partition_key, "", DELETED, None, None, time.time_ns()) for r in rows])
-        self.spark.createDataFrame([(partition_key, DELETED, time.time_ns())], _PARTITIONS).write.mode("append").parquet(f"{self.root}/partitions")
+        self._note([(partition_key, DELETED, time.time_ns())], "partitions", _PARTITIONS)
         self.types.pop(partition_key, None)
 
     def queries(self, partition_key: str | None = None) -> DataFrame:
@@ -97,8 +99,10 @@ class Store:
         if not datatype:
             return self.spark.createDataFrame([], "query_hash string, pk long")
         rows = self._read(f"entries/{partition_key}", f"query_hash string, version long, pk {TYPES[datatype]}")
-        if hashes is not None:
-            rows = rows.filter(F.col("query_hash").isin(hashes))
+        if hashes is not None:  # the sets' own folders only
+            newest = self.queries(partition_key).filter((F.col("status") == OK) & F.col("query_hash").isin(list(hashes))).select("query_hash", "version").collect()
+            paths = [f"{self.root}/entries/{partition_key}/{r.query_hash}-{r.version}" for r in newest]
+            return self.spark.read.schema(rows.schema).parquet(*paths).select("query_hash", "pk") if paths else rows.limit(0).select("query_hash", "pk")
         return rows.join(self.queries(partition_key).filter(F.col("status") == OK).select("query_hash", "version"), ["query_hash", "version"]).select("query_hash", "pk")
 
     def get(self, query_hash: str, partition_key: str) -> DataFrame | None:
@@ -132,8 +136,12 @@ class Store:
         version = time.time_ns()
         fresh = notes.withColumn("partition_key", F.lit(name)).join(self.queries(name).select("query_hash"), "query_hash", "left_anti").withColumn("version", F.lit(version))
         values = self.spark.read.parquet(f"{path}/entries").join(fresh.select("query_hash"), "query_hash", "left_semi")
-        values.select("query_hash", F.lit(version).alias("version"), "pk").write.mode("append").parquet(f"{self.root}/entries/{name}")
-        fresh.select("query_hash", "partition_key", "query", "status", "n_keys", "last_seen", "version").write.mode("append").parquet(f"{self.root}/queries")
+        values.select("query_hash", F.lit(version).alias("version"), "pk").write.partitionBy("query_hash").parquet(staging := f"{self.root}/staging/{uuid.uuid4().hex}")
+        ok = fresh.filter(F.col("status") == OK).select("query_hash").collect()
+        for r in ok:  # one folder for each set, as `put` leaves them
+            own = self.spark.read.schema(f"version long, pk {TYPES[head.datatype]}, query_hash string").option("basePath", staging).parquet(staging).filter(F.col("query_hash") == r.query_hash)
+            own.select("query_hash", "version", "pk").write.parquet(f"{self.root}/entries/{name}/{r.query_hash}-{version}")
+        fresh.select("query_hash", "partition_key", "query", "status", "n_keys", "last_seen", "version").write.parquet(f"{self.root}/queries/{uuid.uuid4().hex}")
 
 
 def as_arrays(entries: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ import threading
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
 
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.apply import apply
 from ..plans.fragments import Fragment, Options, fragments
 from ..sources.store import FAILED, TIMEOUT, Store
 
@@ -48,7 +50,7 @@ def info(queue: DataFrame, queries: DataFrame) -> DataFrame:
 class Queue:
     def __init__(self, store: Store, options: Options = Options(), workers: int = 4, timeout_s: float = 1800, limit: int | None = None):
         self.store, self.options, self.workers, self.timeout_s, self.limit = store, options, workers, timeout_s, limit
-        self.path, self.log = f"{store.root}/queue", f"{store.root}/log"
+        self.path = f"{store.root}/queue"
 
     def push(self, query: str, partition_key: str, key: dict[str, str] | str, datatype: str = "integer", priority: int = 1) -> None:
         row = self.store.spark.createDataFrame([(query, None, partition_key, datatype, json.dumps(key), priority, None)], SCHEMA)
@@ -78,9 +80,7 @@ class Queue:
             populate(self.store, r.query, r.partition_key, json.loads(r.key_columns), r.datatype, self.options, self.workers, self.timeout_s, self.limit, self._noted)
 
     def _noted(self, f: Fragment, partition_key: str, status: str, seconds: float) -> None:
-        spark = self.store.spark
-        row = spark.createDataFrame([(f.hash, partition_key, status, seconds)], "query_hash string, partition_key string, status string, seconds double")
-        row.withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(self.log)
+        self.store._note([(f.hash, partition_key, status, seconds, datetime.now())], "log", "query_hash string, partition_key string, status string, seconds double, created_at timestamp")
 
 
 def populate(store: Store, sql: str, partition_key: str, key: dict[str, str] | str, datatype: str = "integer", options: Options = Options(), workers: int = 4, timeout_s: float = 1800, limit: int | None = None, note: Callable | None = None) -> dict[str, str]:
@@ -91,12 +91,12 @@ def populate(store: Store, sql: str, partition_key: str, key: dict[str, str] | s
     for size in sorted({len(f.tables) for f in found}):
         layer = [f for f in found if len(f.tables) == size and not store.exists(f.hash, partition_key, check_query=True)]
         with ThreadPoolExecutor(max(1, workers)) as pool:
-            for f, status in zip(layer, pool.map(lambda f: _run(store, f, partition_key, datatype, timeout_s, limit, note), layer), strict=True):
+            for f, status in zip(layer, pool.map(lambda f: _run(store, f, partition_key, key, datatype, timeout_s, limit, note), layer), strict=True):
                 done[f.hash] = status
     return done
 
 
-def _run(store: Store, f: Fragment, partition_key: str, datatype: str, timeout_s: float, limit: int | None, note: Callable | None) -> str:
+def _run(store: Store, f: Fragment, partition_key: str, key: dict[str, str] | str, datatype: str, timeout_s: float, limit: int | None, note: Callable | None) -> str:
     """One fragment as a job group of its own thread, cancelled at the timeout."""
     spark, began = store.spark, time.time()
     outcome: list[str] = []
@@ -104,7 +104,8 @@ def _run(store: Store, f: Fragment, partition_key: str, datatype: str, timeout_s
     def work() -> None:
         spark.sparkContext.setJobGroup(f.hash, f.sql[:200], True)
         try:
-            outcome.append(store.put(f.hash, spark.sql(f.sql), partition_key, datatype, f.sql, limit))
+            rows = apply(store, f.sql, partition_key, key, options=Options(auto_star=False))[0] if len(f.tables) > 1 else spark.sql(f.sql)  # smaller fragments prune larger ones
+            outcome.append(store.put(f.hash, rows, partition_key, datatype, f.sql, limit))
         except Exception as e:  # the fragment's own failure: it is noted, and later lookups do without it
             outcome.append(f"{FAILED}: {str(e)[:200]}")
 
