@@ -209,7 +209,7 @@ def _view_sql(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 STATS_SQL = "SELECT c_nationkey, COUNT(*) AS n, COUNT(DISTINCT c_mktsegment) AS n_segments, MIN(c_custkey) AS first_key, MAX(c_custkey) AS last_key, ROUND(AVG(c_acctbal), 4) AS mean_balance FROM customer GROUP BY c_nationkey HAVING COUNT(*) > 5"
-FULL_SQL = "SELECT COALESCE(c.k, s.k) AS k, COALESCE(c.n, 0) AS n_customers, COALESCE(s.n, 0) AS n_suppliers, c.n * 1.0 / NULLIF(s.n, 0) AS density FROM (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer WHERE c_acctbal > 8000 GROUP BY c_nationkey) c FULL OUTER JOIN (SELECT s_nationkey AS k, COUNT(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) s ON c.k = s.k"
+FULL_SQL = "SELECT COALESCE(c.k, s.k) AS k, COALESCE(c.n, 0) AS n_customers, COALESCE(s.n, 0) AS n_suppliers, CAST(c.n AS DOUBLE) / NULLIF(s.n, 0) AS density FROM (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer WHERE c_acctbal > 8000 GROUP BY c_nationkey) c FULL OUTER JOIN (SELECT s_nationkey AS k, COUNT(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) s ON c.k = s.k"
 ILIKE_SQL = "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%steel%' OR p_name LIKE '%1%'"
 
 
