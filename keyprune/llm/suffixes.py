@@ -8,6 +8,7 @@
    a suffix sort: polynomial prefix hashes give any substring's hash, a binary search over lengths finds the
    common extension of two suffixes in O(log LENGTH), and a mergesort of the windows compares by it. Neighbours
    that agree on LENGTH bytes are verified byte by byte, so that no hash collision removes anything there.
+   An anchor of too many different runs for one task has its windows counted by 128-bit hashes instead.
 3. The repeated windows' bytes are united for each document.
 
 Strings are judged on the input; matches never cross documents; overlaps count. Defined results: a null text is
@@ -23,6 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,40 +139,24 @@ def _post(docs: DataFrame, length: int) -> DataFrame:
 REPEATED, ALONE, SAMPLE = 0, 1, 2
 
 
-def _judge(posted: DataFrame) -> DataFrame:
-    """Runs in order of anchor and content are told by their neighbours. Runs that share no anchor go."""
-    names = ["anchor", "k", "at", "n", "kind"]
-
-    def judged(cols: list[np.ndarray], before, after) -> pa.RecordBatch:
-        a, c = (np.concatenate(([x if x is not None else ~y[0]], y, [z if z is not None else ~y[-1]])) for x, y, z in zip(before or (None, None), cols[:2], after or (None, None), strict=True))
-        with_last, with_next = a[1:-1] == a[:-2], a[1:-1] == a[2:]
-        last, following = with_last & (c[1:-1] == c[:-2]), with_next & (c[1:-1] == c[2:])
-        twice = last | following
-        edge = (with_last & ~last) | (with_next & ~following)  # another content of this anchor stands beside it
-        kind = np.where(twice, np.where(edge, SAMPLE, REPEATED), ALONE)
-        keep = with_last | with_next
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (cols[0], *cols[2:], kind.astype(np.int32))], names=names)
-
-    def run(batches):
-        held, before = None, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [c.to_numpy() for c in b.columns]
-            if held is not None:
-                yield judged(held, before, (cols[0][0], cols[1][0]))
-                before = (held[0][-1], held[1][-1])
-            held = cols
-        if held is not None:
-            yield judged(held, before, None)
-
-    rows = posted.repartition(2 * parts(posted.sparkSession), "anchor").sortWithinPartitions("anchor", "content")
-    return map_arrow(rows, run, "anchor long, k long, at long, n int, kind int")
+def _judge(posted: DataFrame, length: int) -> DataFrame:
+    """anchor, k, at, n, kind, crowded of the runs whose anchor others share. Counts are combined before each shuffle and the runs meet
+    them in joins, which AQE splits where one anchor is frequent: no task needs all runs of an anchor."""
+    anchors = posted.groupBy("anchor").agg(F.count("*").alias("__n"), F.min("content").alias("__low"), F.max("content").alias("__high")).filter("__n > 1")
+    runs = stored(posted.join(anchors, "anchor").select(*posted.columns, F.expr("__low != __high").alias("mixed")))
+    mixed = runs.filter("mixed").drop("mixed")
+    contents = stored(mixed.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min("k").alias("k0"), F.min_by("at", "k").alias("at0")))
+    crowds = contents.groupBy("anchor").agg((F.count("*") > SORT_BYTES // (2 * length)).alias("crowded"))
+    contents = stored(contents.join(crowds, "anchor"))
+    kind = F.when(F.col("c") == 1, ALONE).when((F.col("k") == F.col("k0")) & (F.col("at") == F.col("at0")), SAMPLE).otherwise(REPEATED)
+    told = mixed.join(contents, ["anchor", "content"]).select("anchor", "k", "at", "n", kind.alias("kind"), "crowded")
+    alike = runs.filter("not mixed").select("anchor", "k", "at", "n", F.lit(REPEATED).alias("kind"), F.lit(False).alias("crowded"))
+    return alike.unionByName(told)
 
 
 def _contents(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     """anchor, k, at, n, bytes of each run."""
-    wanted = runs.groupBy("k").agg(F.collect_list(F.struct("anchor", "at", "n")).alias("runs"))
+    wanted = runs.groupBy("k").agg(F.collect_set(F.struct("anchor", "at", "n")).alias("runs"))
 
     def run(batches):
         done = set()
@@ -255,51 +241,21 @@ def repeated_windows(group: np.ndarray, raws: list[bytes], counts: np.ndarray, l
     return row[found], pos[found] - begin[row[found]]
 
 
-def _crowd(raws: list[bytes], counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """As `repeated_windows` for one group that no single buffer holds: windows of repeated hashes are sorted in portions of whole
-    hash classes; a class that outgrows a portion is verified against its first window."""
-    size = np.array([len(r) for r in raws], np.int64)
-    hashes, first = [], 0
-    while first < len(raws):
-        last = max(first + 1, first + int(np.searchsorted(np.cumsum(size[first:]), 4 * BUFFER, "right")))
-        prefix = PrefixHash(np.frombuffer(b"".join(raws[first:last]), np.uint8))
-        pos = gather_index(np.cumsum(size[first:last]) - size[first:last], counts[first:last])
-        hashes.append(mix64(prefix.of(pos, pos + length)))
-        first = last
-    h = np.concatenate(hashes)
-    row = np.repeat(np.arange(len(raws)), counts)
-    window = gather_index(np.zeros(len(raws), np.int64), counts)
-    order = np.argsort(h, kind="stable")
-    edge = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
-    many = np.diff(np.append(edge, len(order)))
-    edge, many = edge[many > 1], many[many > 1]
-    cut_out = lambda i: raws[row[i]][window[i] : window[i] + length]
-    found: list[np.ndarray] = []
-    portion: list[np.ndarray] = []
-
-    def sort_portion() -> None:
-        if portion:
-            which = np.concatenate(portion)
-            r, _ = repeated_windows(np.zeros(len(which), np.int64), [cut_out(i) for i in which.tolist()], np.ones(len(which), np.int64), length)
-            found.append(which[r])
-            portion.clear()
-
-    held = 0
-    for e, m in zip(edge.tolist(), many.tolist(), strict=True):
-        which = order[e : e + m]
-        if m > SORT_BYTES // length:
-            lead = cut_out(which[0])
-            equal = np.array([cut_out(i) == lead for i in which.tolist()])
-            found.append(which[equal] if equal.sum() > 1 else which[:0])
-            continue
-        if held + m > SORT_BYTES // length:
-            sort_portion()
-            held = 0
-        portion.append(which)
-        held += m
-    sort_portion()
-    which = np.sort(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64))
-    return row[which], window[which]
+def _crowd(contents: DataFrame, length: int) -> DataFrame:
+    """As `_compare` for anchors of too many runs for one task: windows are counted by a 128-bit hash, combined before the shuffle."""
+
+    def run(batches):
+        for b in batches:
+            ks, ats, hs = [], [], []
+            for k, at, n, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ks += [k] * n
+                ats += range(at, at + n)
+                hs += [xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ats, pa.int64()), pa.array(hs, pa.binary())], names=["k", "at", "h"])
+
+    windows = stored(map_arrow(contents.select("k", "at", "n", "raw"), run, "k long, at long, h binary"))
+    twice = windows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    return windows.join(twice, "h").select("k", "at", F.lit(1).alias("n"))
 
 
 def _compare(contents: DataFrame, length: int) -> DataFrame:
@@ -307,12 +263,11 @@ def _compare(contents: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         held: list[tuple] = []
-        size = first = 0
+        size = 0
 
         def done() -> pa.RecordBatch:
             group = np.cumsum([0, *(int(x[0] != y[0]) for x, y in zip(held[1:], held, strict=False))])
-            raws, counts = [x[4] for x in held], np.array([x[3] for x in held], np.int64)
-            row, w = repeated_windows(group, raws, counts, length) if size <= 4 * BUFFER else _crowd(raws, counts, length)
+            row, w = repeated_windows(group, [x[4] for x in held], np.array([x[3] for x in held], np.int64), length)
             first = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (w[1:] != w[:-1] + 1))))
             k, at = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64)
             n = np.diff(np.append(first, len(row))).astype(np.int32)
@@ -320,17 +275,9 @@ def _compare(contents: DataFrame, length: int) -> DataFrame:
 
         for b in batches:
             for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and x[0] != held[-1][0]:
-                    if size > SORT_BYTES:
-                        yield done()
-                        held, size = [], 0
-                    first = len(held)
-                elif first and size + len(x[4]) > 4 * BUFFER:  # a large group goes alone
-                    own, held = held[first:], held[:first]
-                    size = sum(len(y[4]) for y in held)
+                if size > SORT_BYTES and x[0] != held[-1][0]:
                     yield done()
-                    held, first = own, 0
-                    size = sum(len(y[4]) for y in held)
+                    held, size = [], 0
                 held.append(x)
                 size += len(x[4])
         if held:
@@ -343,10 +290,13 @@ def _compare(contents: DataFrame, length: int) -> DataFrame:
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with column __hits: the repeated windows (at, n) of each text, or null."""
     docs = _keyed(docs)
-    judged = stored(_judge(_post(docs, length)))
-    compared = _compare(_contents(docs, judged.filter(F.col("kind") != REPEATED), length), length)
-    hits = judged.filter(F.col("kind") != ALONE).select("k", "at", "n").unionByName(compared)
-    hits = hits.groupBy("k").agg(F.collect_list(F.struct("at", "n")).alias("__hits"))
+    judged = stored(_judge(stored(_post(docs, length)), length))
+    near = judged.filter(F.col("kind") != REPEATED)
+    hits = judged.filter(F.col("kind") != ALONE).select("k", "at", "n").unionByName(_compare(_contents(docs, near.filter("not crowded"), length), length))
+    crowd = near.filter("crowded")
+    if crowd.limit(1).count():
+        hits = hits.unionByName(_crowd(_contents(docs, crowd, length), length))
+    hits = hits.groupBy("k").agg(F.collect_set(F.struct("at", "n")).alias("__hits"))
     return docs.join(hits, F.col("__k") == F.col("k"), "left").drop("k", "__k")
 
 

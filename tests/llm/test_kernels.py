@@ -53,18 +53,12 @@ def _repeated(raws, length):
     return {(j, i) for j, r in enumerate(raws) for i in range(len(r) - length + 1) if c[r[i : i + length]] > 1}
 
 
-@pytest.mark.parametrize("find", [suffixes.repeated_windows, None])
-def test_suffix_sort_finds_repeated_windows(find, monkeypatch):
+def test_suffix_sort_finds_repeated_windows():
     rng = random.Random(4)
     middle = "".join(rng.choice("abcd") for _ in range(30))
     raws = [("".join(rng.choice("ab") for _ in range(12)) + middle + "".join(rng.choice("ab") for _ in range(9))).encode() for _ in range(200)] + [b"x" * 60]
     counts = np.array([len(r) - 19 for r in raws])
-    if find:
-        row, w = find(np.zeros(len(raws), np.int64), raws, counts, 20)
-    else:
-        monkeypatch.setattr(suffixes, "BUFFER", 500)
-        monkeypatch.setattr(suffixes, "SORT_BYTES", 800)
-        row, w = suffixes._crowd(raws, counts, 20)
+    row, w = suffixes.repeated_windows(np.zeros(len(raws), np.int64), raws, counts, 20)
     assert set(zip(row.tolist(), w.tolist(), strict=True)) == _repeated(raws, 20)
 
 

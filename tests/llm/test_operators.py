@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -60,6 +61,29 @@ def test_jaccard_and_suffixes(docs):
     assert stripped.columns == docs.columns and stripped.filter("doc_id = 4").count() == 0 and stripped.filter("doc_id = 1").count() == 1
 
 
+@pytest.mark.parametrize("limit", [None, 3000])
+def test_a_line_in_many_surroundings(spark, monkeypatch, limit):
+    """One line shared by most documents, in the suffix sort and where its anchors are too many for one task."""
+    rng = random.Random(5)
+    some = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    line, around = some(25), [some(20) for _ in range(12)]
+    rows = [(i, (rng.choice(around) + line + rng.choice(around) if rng.random() < 0.7 else some(60) + line) + some(rng.randint(0, 30))) for i in range(200)]
+    rows += [(i + 1000, rows[7][1]) for i in range(20)] + [rows[3]] * 3 + [(5000, None), (5001, ""), (None, rows[9][1])]
+    raws = [(t or "").encode() for _, t in rows]
+    c = Counter(r[i : i + 200] for r in raws for i in range(len(r) - 199))
+    want = []
+    for (doc, _), r in zip(rows, raws, strict=True):
+        gone = bytearray(len(r))
+        for i in range(len(r) - 199):
+            if c[r[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        want.append((doc, sum(gone), hashlib.sha256(bytes(b for b, g in zip(r, gone, strict=True) if not g)).hexdigest()))
+    if limit:
+        monkeypatch.setattr(suffixes, "SORT_BYTES", limit)
+    got = [(r.doc_id, r.n_removed, r.kept_sha256) for r in suffixes.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_mixing_equals_sql_and_mix_takes_what_shares_say(spark, docs):
     out = mixing.shares(docs)
     c = duckdb.connect()
