@@ -141,12 +141,13 @@ REPEATED, ALONE, SAMPLE = 0, 1, 2
 
 def _judge(posted: DataFrame, length: int) -> DataFrame:
     """anchor, k, at, n, kind, crowded of the runs whose anchor others share. Counts are combined before each shuffle and the runs meet
-    them in joins, which AQE splits where one anchor is frequent: no task needs all runs of an anchor."""
-    anchors = posted.groupBy("anchor").agg(F.count("*").alias("__n"), F.min("content").alias("__low"), F.max("content").alias("__high")).filter("__n > 1")
+    them in joins, which AQE splits where one anchor is frequent: no task needs all runs of an anchor. It splits joins of plain shuffles
+    alone, so the counts are stored first."""
+    anchors = stored(posted.groupBy("anchor").agg(F.count("*").alias("__n"), F.min("content").alias("__low"), F.max("content").alias("__high")).filter("__n > 1"))
     runs = stored(posted.join(anchors, "anchor").select(*posted.columns, F.expr("__low != __high").alias("mixed")))
     mixed = runs.filter("mixed").drop("mixed")
     contents = stored(mixed.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min("k").alias("k0"), F.min_by("at", "k").alias("at0")))
-    crowds = contents.groupBy("anchor").agg((F.count("*") > SORT_BYTES // (2 * length)).alias("crowded"))
+    crowds = stored(contents.groupBy("anchor").agg((F.count("*") > SORT_BYTES // (2 * length)).alias("crowded")))
     contents = stored(contents.join(crowds, "anchor"))
     kind = F.when(F.col("c") == 1, ALONE).when((F.col("k") == F.col("k0")) & (F.col("at") == F.col("at0")), SAMPLE).otherwise(REPEATED)
     told = mixed.join(contents, ["anchor", "content"]).select("anchor", "k", "at", "n", kind.alias("kind"), "crowded")
@@ -254,7 +255,7 @@ def _crowd(contents: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ats, pa.int64()), pa.array(hs, pa.binary())], names=["k", "at", "h"])
 
     windows = stored(map_arrow(contents.select("k", "at", "n", "raw"), run, "k long, at long, h binary"))
-    twice = windows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    twice = stored(windows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"))
     return windows.join(twice, "h").select("k", "at", F.lit(1).alias("n"))
 
 
