@@ -41,7 +41,7 @@ STAGES = [
     ("byte-level BPE encoding", encoded),
 ]
 
-#: A trained network and a tokenizer cannot be said in SQL. The tests hold the stages' operators against brute force, not yet run()'s rows.
+#: A trained network and a tokenizer cannot be said in SQL. tests/llm/test_pipeline.py holds run()'s rows against a plain version.
 ORACLE_SQL = None
 
 
