@@ -135,24 +135,18 @@ def _post(docs: DataFrame, length: int) -> DataFrame:
     return map_arrow(docs.select("__k", "text"), run, "anchor long, content long, k long, at long, n int")
 
 
-#: A repeated run; a run to be compared; a repeated run that others are compared with.
-REPEATED, ALONE, SAMPLE = 0, 1, 2
-
-
-def _judge(posted: DataFrame, length: int) -> DataFrame:
-    """anchor, k, at, n, kind, crowded of the runs whose anchor others share. Counts are combined before each shuffle and the runs meet
-    them in joins, which AQE splits where one anchor is frequent: no task needs all runs of an anchor. It splits joins of plain shuffles
-    alone, so the counts are stored first."""
-    anchors = stored(posted.groupBy("anchor").agg(F.count("*").alias("__n"), F.min("content").alias("__low"), F.max("content").alias("__high")).filter("__n > 1"))
-    runs = stored(posted.join(anchors, "anchor").select(*posted.columns, F.expr("__low != __high").alias("mixed")))
-    mixed = runs.filter("mixed").drop("mixed")
-    contents = stored(mixed.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min("k").alias("k0"), F.min_by("at", "k").alias("at0")))
-    crowds = stored(contents.groupBy("anchor").agg((F.count("*") > SORT_BYTES // (2 * length)).alias("crowded")))
-    contents = stored(contents.join(crowds, "anchor"))
-    kind = F.when(F.col("c") == 1, ALONE).when((F.col("k") == F.col("k0")) & (F.col("at") == F.col("at0")), SAMPLE).otherwise(REPEATED)
-    told = mixed.join(contents, ["anchor", "content"]).select("anchor", "k", "at", "n", kind.alias("kind"), "crowded")
-    alike = runs.filter("not mixed").select("anchor", "k", "at", "n", F.lit(REPEATED).alias("kind"), F.lit(False).alias("crowded"))
-    return alike.unionByName(told)
+def _judge(posted: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """The runs whose content repeats (k, at, n), and one run of each content whose anchor has others (anchor, k, at, n, crowded). Counts
+    are combined before each shuffle and the runs meet them in joins, which AQE splits where one anchor is frequent: no task needs all
+    runs of an anchor. It splits joins of plain shuffles alone, so the counts are stored first. Each run meets one count at most."""
+    anchors = stored(posted.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1"))
+    runs = stored(posted.join(anchors, "anchor", "left_semi"))
+    place = F.min_by(F.shiftleft("at", 20) + F.col("n"), "k")
+    contents = stored(runs.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min("k").alias("k"), place.alias("place")))
+    crowds = stored(contents.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor", (F.col("c") > SORT_BYTES // (2 * length)).alias("crowded")))
+    near = contents.join(crowds, "anchor").select("anchor", "k", F.shiftright("place", 20).alias("at"), (F.col("place") % BUFFER).cast("int").alias("n"), "crowded")
+    repeated = runs.join(contents.filter("c > 1"), ["anchor", "content"], "left_semi").select("k", "at", "n")
+    return stored(repeated), stored(near)
 
 
 def _contents(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
@@ -291,9 +285,8 @@ def _compare(contents: DataFrame, length: int) -> DataFrame:
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with column __hits: the repeated windows (at, n) of each text, or null."""
     docs = _keyed(docs)
-    judged = stored(_judge(stored(_post(docs, length)), length))
-    near = judged.filter(F.col("kind") != REPEATED)
-    hits = judged.filter(F.col("kind") != ALONE).select("k", "at", "n").unionByName(_compare(_contents(docs, near.filter("not crowded"), length), length))
+    hits, near = _judge(stored(_post(docs, length)), length)
+    hits = hits.unionByName(_compare(_contents(docs, near.filter("not crowded"), length), length))
     crowd = near.filter("crowded")
     if crowd.limit(1).count():
         hits = hits.unionByName(_crowd(_contents(docs, crowd, length), length))
