@@ -31,6 +31,8 @@ GROUPED = """SELECT o.o_orderstatus, COUNT(*) AS n_lines, CAST(SUM(l.l_quantity)
 WHERE o.o_totalprice > 400000 AND l.l_quantity >= 45 GROUP BY o.o_orderstatus"""
 NEAR = """SELECT a.vec_id AS a_id, b.vec_id AS b_id FROM points a, points b
 WHERE a.label = b.label AND a.vec_id % 3 = 0 AND b.vec_id % 3 = 1 AND DIST(a.x, a.y, b.x, b.y) BETWEEN 0.01 AND 0.05"""
+NEAR_WHOLE = """SELECT a.vec_id AS a_id, b.vec_id AS b_id FROM points a, points b
+WHERE a.label = b.label AND a.vec_id < b.vec_id AND DIST(a.x, a.y, b.x, b.y) BETWEEN 0.01 AND 0.05"""
 POINTS = "(SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
 
 
@@ -69,14 +71,23 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
 
 
-def distance_bucket_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fragment of a distance query, its bounds widened to steps of 0.04."""
+def _bucketed(near: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     _points(spark, sf_dir).createOrReplaceTempView("points")
-    sql = next(f.sql for f in fragments(NEAR, {"points": "label"}, Options(bucket_step=0.04, min_size=2)) if "BETWEEN 0 AND 0.08" in f.sql)
+    sql = next(f.sql for f in fragments(near, {"points": "label"}, Options(bucket_step=0.04, min_size=2)) if "BETWEEN 0 AND 0.08" in f.sql)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION DIST(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE) RETURNS DOUBLE RETURN SQRT((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))")
     return spark.sql(sql)
 
 
+def distance_bucket_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fragment of a distance query, its bounds widened to steps of 0.04."""
+    return _bucketed(NEAR, spark, sf_dir)
+
+
+def distance_bucket_normalized_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, over all pairs of points."""
+    return _bucketed(NEAR_WHOLE, spark, sf_dir)
+
+
 FRAGMENTS = fragments(FLAGSHIP, ORDER_KEY)
 
 
@@ -166,7 +177,11 @@ def distance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sided(p: DataFrame, side: str, rest: int) -> DataFrame:
-    return p.filter(F.col("vec_id") % 5 == rest).select(F.col("vec_id").alias(f"{side}_id"), F.col("x").alias(f"{side}x"), F.col("y").alias(f"{side}y"))
+    return _side(p.filter(F.col("vec_id") % 5 == rest), side)
+
+
+def _side(p: DataFrame, side: str) -> DataFrame:
+    return p.select(F.col("vec_id").alias(f"{side}_id"), F.col("label").alias(f"{side}_label"), F.col("x").alias(f"{side}x"), F.col("y").alias(f"{side}y"))
 
 
 def spatial_dwithin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +199,21 @@ def apply_spatial_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.within(ab, c, 0.04, ("ax", "ay"), ("cx", "cy")).select("a_id", "b_id", "c_id")
 
 
+def spatial_dwithin_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three-way self-join over all points, each triple once, in ascending order."""
+    p = _points(spark, sf_dir)
+    ab = spatial.within(_side(p, "a"), _side(p, "b"), 0.03, ("ax", "ay"), ("bx", "by")).filter("a_id < b_id")
+    return spatial.within(ab, _side(p, "c"), 0.04, ("ax", "ay"), ("cx", "cy")).filter("b_id < c_id").select("a_id", "b_id", "c_id")
+
+
+def apply_spatial_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, c held to the cells that a pair (a, b) leaves."""
+    p = _points(spark, sf_dir)
+    ab = spatial.within(_side(p, "a"), _side(p, "b"), 0.03, ("ax", "ay"), ("bx", "by")).filter("a_id < b_id")
+    c = spatial.restrict(_side(p, "c"), spatial.cells(ab, 0.02, "ax", "ay"), 0.04, 0.02, "cx", "cy")
+    return spatial.within(ab, c, 0.04, ("ax", "ay"), ("cx", "cy")).filter("b_id < c_id").select("a_id", "b_id", "c_id")
+
+
 def bbox_grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.cells(_points(spark, sf_dir), 0.05)
 
@@ -200,6 +230,12 @@ def cross_partition_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.within(a, b, 0.02, ("ax", "ay"), ("bx", "by")).filter("a_label != b_label").select("a_id", "b_id")
 
 
+def cross_partition_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, over all pairs of points."""
+    p = _points(spark, sf_dir)
+    return spatial.within(_side(p, "a"), _side(p, "b"), 0.02, ("ax", "ay"), ("bx", "by")).filter("a_label != b_label AND a_id < b_id").select("a_id", "b_id")
+
+
 def _view_sql(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         _tables(spark, sf_dir)
@@ -318,6 +354,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "constraint_removed": _fragment(FLAGSHIP, ORDER_KEY, lambda f: f.tables == ("orders",), Options(remove_all=("o_orderstatus",))),
 }
 QUERIES |= {f.__name__: f for f in (distance_bucket_normalized, intersect_division, intersect_arrays, intersect_bitmap, intersect_sql, populate_entries, entry_cardinality, copy_reencode, export_roundtrip, filter_existing, all_queries, fragment_hash, fragment_bootstrap, distance_join, spatial_dwithin, apply_spatial_filter, bbox_grid_cells, bbox_envelope_intersection, cross_partition_pairs, topk_per_partition, evict_oldest, evict_largest, prune_old, large_entries, partition_overview, queue_dedup_priority, queue_top, queue_uncached, queue_cleanup_cached, queue_lengths, queue_cache_info, queue_streaming)}
+QUERIES |= {f.__name__: f for f in (distance_bucket_normalized_whole, spatial_dwithin_whole, apply_spatial_filter_whole, cross_partition_pairs_whole)}
 QUERIES |= {"group_having_stats": _view_sql(STATS_SQL), "density_full_outer": _view_sql(FULL_SQL), "ilike_filter": _view_sql(ILIKE_SQL)}
 
 _BOTH = [f.sql for f in FRAGMENTS]
@@ -327,6 +364,7 @@ _TEXTS = " UNION ALL ".join("SELECT '{}' AS query, '{}' AS query_hash".format(f.
 _D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 _C = "sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y))"
 _THREE = f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, c.vec_id AS c_id FROM {POINTS} a, {POINTS} b, {POINTS} c WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 = 1 AND c.vec_id % 5 = 2 AND {_D} < 0.03 AND {_C} < 0.04"
+_THREE_WHOLE = f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, c.vec_id AS c_id FROM {POINTS} a, {POINTS} b, {POINTS} c WHERE a.vec_id < b.vec_id AND b.vec_id < c.vec_id AND {_D} < 0.03 AND {_C} < 0.04"
 _OLD = "SELECT query_hash, partition_key FROM (SELECT *, count(*) OVER (PARTITION BY partition_key) AS n, row_number() OVER (PARTITION BY partition_key ORDER BY {}, query_hash) AS p FROM {}) WHERE p <= n - 100"
 
 ORACLE: dict[str, str] = {
@@ -352,6 +390,9 @@ ORACLE: dict[str, str] = {
     "bbox_grid_cells": f"SELECT floor(x / 0.05 + 0.5)::BIGINT AS gx, floor(y / 0.05 + 0.5)::BIGINT AS gy, count(*) AS n_points FROM {POINTS} GROUP BY 1, 2",
     "bbox_envelope_intersection": f"SELECT * FROM (SELECT max(x1 - 0.125) AS xmin, max(y1 - 0.125) AS ymin, min(x2 + 0.125) AS xmax, min(y2 + 0.125) AS ymax FROM (SELECT label, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM {POINTS} GROUP BY label)) WHERE xmin <= xmax AND ymin <= ymax",
     "cross_partition_pairs": f"SELECT a.vec_id AS a_id, b.vec_id AS b_id FROM {POINTS} a, {POINTS} b WHERE a.vec_id % 4 = 0 AND b.vec_id % 4 = 1 AND a.label != b.label AND {_D} < 0.02",
+    "distance_bucket_normalized_whole": f"SELECT DISTINCT a.label AS pk FROM {POINTS} a, {POINTS} b WHERE a.label = b.label AND a.vec_id < b.vec_id AND {_D} BETWEEN 0 AND 0.08",
+    **dict.fromkeys(("spatial_dwithin_whole", "apply_spatial_filter_whole"), _THREE_WHOLE),
+    "cross_partition_pairs_whole": f"SELECT a.vec_id AS a_id, b.vec_id AS b_id FROM {POINTS} a, {POINTS} b WHERE a.vec_id < b.vec_id AND a.label != b.label AND {_D} < 0.02",
     "topk_per_partition": "SELECT o_orderpriority, o_orderkey, place FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 3",
     "evict_oldest": _OLD.format("last_seen", NOTES),
     "evict_largest": _OLD.format("n_keys DESC", NOTES),

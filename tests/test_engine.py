@@ -32,6 +32,25 @@ def test_query_equals_oracle(spark, duck, name):
     assert rows(df) == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=str)
 
 
+def test_whole_spatial_joins_equal_brute_force(spark, duck):
+    p = duck.execute(f"SELECT vec_id, label, x, y FROM {Q.POINTS}").fetchall()
+    d = {(a[0], b[0]): (((a[2] - b[2]) * (a[2] - b[2]) + (a[3] - b[3]) * (a[3] - b[3])) ** 0.5, a[1] == b[1]) for a in p for b in p if a[0] < b[0]}
+    cs = {}
+    for (a, c), (far, _) in d.items():
+        if far < 0.04:
+            cs.setdefault(a, []).append(c)
+    triples = sorted(((a, b, c) for (a, b), (far, _) in d.items() if far < 0.03 for c in cs[a] if b < c), key=str)
+    assert triples and rows(Q.QUERIES["spatial_dwithin_whole"](spark, SF)) == rows(Q.QUERIES["apply_spatial_filter_whole"](spark, SF)) == triples
+    assert rows(Q.QUERIES["cross_partition_pairs_whole"](spark, SF)) == sorted((k for k, (far, same) in d.items() if far < 0.02 and not same), key=str)
+    label = {i: x for i, x, *_ in p}
+    assert rows(Q.QUERIES["distance_bucket_normalized_whole"](spark, SF)) == sorted({(label[a],) for (a, _), (far, same) in d.items() if same and far <= 0.08}, key=str)
+
+
+@pytest.mark.parametrize("name", ["distance_bucket_normalized_whole", "spatial_dwithin_whole", "apply_spatial_filter_whole", "cross_partition_pairs_whole"])
+def test_whole_query_equals_oracle(spark, duck, name):
+    test_query_equals_oracle(spark, duck, name)
+
+
 def test_random_queries_keep_their_rows(spark):
     rng = random.Random(5)
     Q._tables(spark, SF)
