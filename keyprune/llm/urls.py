@@ -2,8 +2,9 @@
 
 Two smoothed variable-order Markov models, of the URLs that the rules accept and of those that they reject,
 give each URL the mean over its characters of log p(accepted) - log p(rejected). Order k backs off to order
-k - 1: p_k = (n(context, char) + SMOOTH * p_(k-1)) / (n(context) + SMOOTH). Counts lie in SLOTS hashed slots,
-which bounds the model whatever the characters. The threshold is calibrated on all URLs that a rule judges:
+k - 1: p_k = (n(context, char) + SMOOTH * p_(k-1)) / (n(context) + SMOOTH). Counts are exact:
+a position's characters of all orders are its window, and each distinct window of the table meets the counts
+in joins once, its positions the result. The threshold is calibrated on all URLs that a rule judges:
 the point between the two classes' means, each as far in its own standard deviations.
 
 Defined results: a null URL, or one without `://`, has an empty host and path, no rule, and is scored by the
@@ -18,11 +19,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, stored
 
 ORDERS = 4
-SLOTS = 1 << 14
 SMOOTH = 2.0
+#: Copies of a window's ratio over which its positions are spread.
+SALTS = 16
+#: Ratios are summed in steps of this, in any order with one result.
+UNIT = 2.0**-36
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,19 +64,6 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return found
 
 
-def _slot(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(SLOTS)).cast("int")
-
-
-def _grams(s: Column, i: Column) -> list[Column]:
-    """Context and context with next character, for each order, at character i of s; s starts with ORDERS marks."""
-    out = []
-    for k in range(ORDERS):
-        context = F.substr(s, i + (ORDERS - k), F.lit(k))
-        out += [F.concat(F.lit(f"{k}c"), context), F.concat(F.lit(f"{k}g"), context, F.substr(s, i + ORDERS, F.lit(1)))]
-    return out
-
-
 def _marked(host: Column, path: Column) -> Column:
     return F.concat(F.lit("\x02" * ORDERS), host, path)
 
@@ -81,43 +72,36 @@ def _positions(s: Column) -> Column:
     return F.when(F.length(s) > ORDERS, F.sequence(F.lit(1), F.length(s) - ORDERS)).otherwise(F.array().cast("array<int>"))
 
 
-def learn(judged: DataFrame) -> tuple[list[int], list[int]]:
-    """From columns host, path and verdict: the counts in each slot for accepted and for rejected URLs."""
-    s = F.col("s")
-    rows = judged.select("verdict", _marked(F.col("host"), F.col("path")).alias("s")).select("verdict", "s", F.explode(_positions(s)).alias("i"))
-    slots = rows.select("verdict", F.explode(F.array(*map(_slot, _grams(s, F.col("i"))))).alias("slot")).groupBy("verdict", "slot").count()
-    found = {"allow": [0] * SLOTS, "block": [0] * SLOTS}
-    for r in slots.collect():  # at most 2 * SLOTS rows
-        found[r.verdict][r.slot] = r["count"]
-    return found["allow"], found["block"]
+def _windows(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, window, from rows (keys, s): the ORDERS characters that end in each character of s; s starts with ORDERS marks."""
+    return rows.select(*keys, "s", F.explode(_positions(F.col("s"))).alias("i")).select(*keys, F.substr("s", F.col("i") + 1, F.lit(ORDERS)).alias("window"))
 
 
-def _table(counts: list[int]) -> Column:
-    """One literal, folded once by the optimizer."""
-    return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<double>")
+def learn(rows: DataFrame) -> DataFrame:
+    """From columns s and ruled (null: no rule): window, allow, block, the counts of each window of any row in those that a rule judges."""
+    count = lambda v: F.sum(F.when(F.col("ruled") == v, 1).otherwise(0)).alias(v)
+    return _windows(rows, "ruled").groupBy("window").agg(count("allow"), count("block"))
 
 
-def ratio(host: Column, path: Column, model: tuple[list[int], list[int]]) -> Column:
-    """Mean log ratio of the two models' probabilities, over the characters of host and path."""
-    tables = [_table(m) for m in model]
-
-    def log_p(slots: Column, table: Column) -> Column:
-        # from the lowest order on: the accumulator is p_(k-1)
-        step = lambda n: F.aggregate(F.sequence(F.lit(0), F.lit(ORDERS - 1)), F.lit(1 / 256), lambda p, k: (F.get(n, 2 * k + 1) + SMOOTH * p) / (F.get(n, 2 * k) + SMOOTH))
-        return F.ln(_let(F.transform(slots, lambda x: F.get(table, x)), step))
-
-    def at(s: Column, i: Column) -> Column:
-        return _let(F.array(*map(_slot, _grams(s, i))), lambda slots: log_p(slots, tables[0]) - log_p(slots, tables[1]))
-
-    def mean(s: Column) -> Column:
-        return F.aggregate(_positions(s), F.lit(0.0), lambda a, i: a + at(s, i)) / F.greatest(F.length(s) - ORDERS, F.lit(1))
-
-    return _let(_marked(host, path), mean)
+def ratios(seen: DataFrame) -> DataFrame:
+    """window, ratio: log p(accepted) - log p(rejected) of its last character after the others, in UNIT."""
+    out = seen.select("window")
+    p = {v: F.lit(1 / 256) for v in ("allow", "block")}
+    for k in range(ORDERS):
+        for kind, n in (("c", k), ("g", k + 1)):
+            # of the ORDERS - 1 characters before the last one the k last; for g, with the last one
+            part, key = F.substr("window", F.lit(ORDERS - k), F.lit(n)), f"{kind}{k}"
+            counts = seen.groupBy(part.alias(key)).agg(*(F.sum(v).alias(f"{key}_{v}") for v in p))
+            out = out.withColumn(key, part).join(F.broadcast(counts) if n < 2 else counts, key).drop(key)
+        p = {v: (F.col(f"g{k}_{v}") + SMOOTH * q) / (F.col(f"c{k}_{v}") + SMOOTH) for v, q in p.items()}
+    return out.select("window", F.round((F.ln(p["allow"]) - F.ln(p["block"])) / UNIT).cast("long").alias("ratio"))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once where body uses it more than once."""
-    return F.get(F.transform(F.array(value), body), 0)
+def scores(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """row, score: the mean ratio over the characters of s, of rows (row, s) that have any."""
+    salted = found.select("window", "ratio", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    at = _windows(rows, "row").withColumn("salt", F.pmod("row", F.lit(SALTS)))
+    return at.join(salted, ["window", "salt"]).groupBy("row").agg((F.sum("ratio") * UNIT / F.count("*")).alias("score"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -128,16 +112,17 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     for r in rules:
         by_rule = F.when(F.col("rule") == r.text, F.lit(r.verdict)).otherwise(by_rule)
     split = split.withColumn("ruled", by_rule)
-    judged = split.filter(F.col("ruled").isNotNull()).select("host", "path", F.col("ruled").alias("verdict"))
-    model = learn(judged)
-    score = ratio(F.col("host"), F.col("path"), model)
-    spread = {r.verdict: r for r in judged.select("verdict", score.alias("score")).groupBy("verdict").agg(F.mean("score").alias("mean"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("sd")).collect()}
+    split = stored(split.select("*", F.monotonically_increasing_id().alias("row"), _marked(F.col("host"), F.col("path")).alias("s")))
+    found = stored(ratios(stored(learn(split))))
+    split = stored(split.join(scores(split, found), "row", "left").drop("row", "s").withColumn("score", F.coalesce("score", F.lit(0.0))))
+    judged = split.filter(F.col("ruled").isNotNull())
+    spread = {r.verdict: r for r in judged.groupBy(F.col("ruled").alias("verdict")).agg(F.mean("score").alias("mean"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("sd")).collect()}
     if len(spread) == 2:
         a, b = spread["allow"], spread["block"]
         least = (a["mean"] * (b.sd + 1e-9) + b["mean"] * (a.sd + 1e-9)) / (a.sd + b.sd + 2e-9)
     else:
         least = float("inf") if "block" in spread else float("-inf")
-    return split.withColumn("score", score).select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= least, "allow").otherwise("block")).alias("verdict"), "score")
+    return split.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= least, "allow").otherwise("block")).alias("verdict"), "score")
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

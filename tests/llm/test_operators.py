@@ -130,6 +130,30 @@ def test_url_rules(spark):
     assert len(rest) == 4 and {r.host for r in rest} == {"", "notnet"} and all(r.verdict in ("allow", "block") for r in rest)
 
 
+def test_url_scores_follow_exact_counts(spark):
+    """More distinct contexts than any fixed table of a few thousand counts tells apart."""
+    rng = random.Random(7)
+    some = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzäß0123456789") for _ in range(60))
+    pages = [(i, f"http://{('a.com/en', 'b.net/de', 'c.org/fr')[i % 3]}/{some()}") for i in range(300)]
+    pages += [pages[1], pages[2]]
+    text = [u.partition("://")[2] for _, u in pages]
+    counts = {v: Counter() for v in ("allow", "block")}
+    for i, t in enumerate(text):
+        if "/fr/" not in t:
+            s, n = "\x02" * 4 + t, counts["block" if "/en/" in t else "allow"]
+            n.update((k, kind, s[j - k : j + (kind == "g")]) for j in range(4, len(s)) for k in range(4) for kind in "cg")
+
+    def log_p(n, s, j):
+        p = 1 / 256
+        for k in range(4):
+            p = (n[k, "g", s[j - k : j + 1]] + 2 * p) / (n[k, "c", s[j - k : j]] + 2)
+        return math.log(p)
+
+    want = sorted((i, sum(log_p(counts["allow"], s, j) - log_p(counts["block"], s, j) for j in range(4, len(s))) / len(t)) for (i, _), t in zip(pages, text, strict=True) for s in ["\x02" * 4 + t])
+    got = sorted((r.page_id, r.score) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and all(abs(a - b) < 1e-8 for (_, a), (_, b) in zip(got, want, strict=True))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
