@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import parts, read
 
-SAMPLES = 16
+SAMPLES = 64
 _BITS = 23
 _SPACE = r"[\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

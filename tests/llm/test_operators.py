@@ -109,6 +109,23 @@ def test_fingerprints(docs):
     assert sorted(edits) == sorted(r.edited_sha256 for r in out)
 
 
+def test_fingerprints_come_near_the_exact_likeness(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 40)) for _ in range(200))) for i in range(80)]
+    got = {r.doc_id: (r.near_edited, r.near_next) for r in cws.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def exact(a, b):
+        x, y = Counter(a.split()), Counter(b.split())
+        return (x & y).total() / (x | y).total()
+
+    errors = []
+    for i, t in rows:
+        after = rows[i - 1][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        errors += [got[i][0] - exact(t, edited), got[i][1] - exact(t, after)]
+    assert math.sqrt(sum(e * e for e in errors[::2]) / 80) < 0.085 and math.sqrt(sum(e * e for e in errors[1::2]) / 80) < 0.085
+
+
 def test_lm_base_scores(docs):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     tok = lambda t: [*(t or "").encode().lower().split(), b"\n"]
