@@ -53,22 +53,56 @@ def _repeated(raws, length):
     return {(j, i) for j, r in enumerate(raws) for i in range(len(r) - length + 1) if c[r[i : i + length]] > 1}
 
 
-def test_suffix_sort_finds_repeated_windows():
-    rng = random.Random(4)
-    middle = "".join(rng.choice("abcd") for _ in range(30))
-    raws = [("".join(rng.choice("ab") for _ in range(12)) + middle + "".join(rng.choice("ab") for _ in range(9))).encode() for _ in range(200)] + [b"x" * 60]
-    counts = np.array([len(r) - 19 for r in raws])
-    row, w = suffixes.repeated_windows(np.zeros(len(raws), np.int64), raws, counts, 20)
-    assert set(zip(row.tolist(), w.tolist(), strict=True)) == _repeated(raws, 20)
+def _thue_morse(n):
+    return bytes(97 + bin(i).count("1") % 2 for i in range(n))
+
 
+def test_hash_is_that_of_the_prime_and_tells_thue_morse_apart():
+    x = _thue_morse(2048)
+    flat = np.frombuffer(x + x.translate(bytes.maketrans(b"ab", b"ba")), np.uint8)
+    h = suffixes.PrefixHash(flat)
+    for a, b in ((0, 7), (100, 1300), (2048, 4096)):
+        want = sum((int(v) + 1) * pow(suffixes.BASE, i, suffixes._PRIME) for i, v in enumerate(flat[a:b])) % suffixes._PRIME
+        assert int(h.of(np.array([a]), np.array([b]))[0]) == want
+    for n in (256, 1024, 2048):
+        one, two = int(h.of(np.array([0]), np.array([n]))[0]), int(h.of(np.array([2048]), np.array([2048 + n]))[0])
+        assert one != two and bin(one ^ two).count("1") > 10
 
-def test_merge_sort_orders_suffixes():
+
+def test_suffix_order_is_that_of_the_bytes_also_with_a_base_that_collides():
     rng = np.random.default_rng(5)
-    flat = rng.integers(97, 99, 400).astype(np.uint8)
-    pos = np.arange(360)
-    out = suffixes.merge_sort(suffixes.PrefixHash(flat), flat, pos, np.zeros(360, np.int64), 40)
-    keys = [flat[p : p + 40].tobytes() for p in out]
-    assert keys == sorted(keys) and sorted(out.tolist()) == pos.tolist()
+    flat = np.concatenate((rng.integers(97, 99, 400), np.frombuffer(_thue_morse(300), np.uint8), np.full(200, 97))).astype(np.uint8)
+    pos = rng.integers(0, 850, 300)
+    have = rng.integers(0, 50, 300)
+    group = np.sort(rng.integers(0, 9, 300))
+    for base in (suffixes.BASE, 1):  # base 1: every permutation collides
+        order, extension = suffixes.suffix_order(flat, pos, have, group, base)
+        text = [flat[p : p + n].tobytes() for p, n in zip(pos, have, strict=True)]
+        assert (group[order] == group).all()
+        for i in range(1, 300):
+            x, y = text[order[i - 1]], text[order[i]]
+            if group[i] != group[i - 1]:
+                assert extension[i] == -1
+            else:
+                assert x <= y and extension[i] == next((j for j, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+
+
+def test_run_sort_finds_repeated_windows():
+    rng = random.Random(4)
+    raws, offs = [], []
+    for _ in range(200):
+        left, right = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 12))).encode() for _ in range(2))
+        raws.append(left + b"anchor-with-more" + right)
+        offs.append(len(left))
+    keep = [i for i, r in enumerate(raws) if len(r) >= 20]
+    raws, offs = [raws[i] for i in keep], [offs[i] for i in keep]
+    # windows that hold the anchor: the first starts offs before it at most
+    first = [max(0, o + 16 - 20) for o in offs]
+    raws, offs = [r[f:] for r, f in zip(raws, first, strict=True)], np.array([o - f for o, f in zip(offs, first, strict=True)])
+    counts = np.array([max(0, min(len(r) - 19, o + 1)) for r, o in zip(raws, offs, strict=True)])
+    row, w = suffixes.repeated_windows(np.zeros(len(raws), np.int64), raws, counts, offs, 20)
+    seen = Counter(r[i : i + 20] for r, n in zip(raws, counts, strict=True) for i in range(n))
+    assert set(zip(row.tolist(), w.tolist(), strict=True)) == {(j, i) for j, (r, n) in enumerate(zip(raws, counts, strict=True)) for i in range(n) if seen[r[i : i + 20]] > 1}
 
 
 def test_flac_round_trip_seek_and_checks():

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from itertools import accumulate
 
 import duckdb
 import pytest
@@ -61,27 +62,80 @@ def test_jaccard_and_suffixes(docs):
     assert stripped.columns == docs.columns and stripped.filter("doc_id = 4").count() == 0 and stripped.filter("doc_id = 1").count() == 1
 
 
-@pytest.mark.parametrize("limit", [None, 3000])
-def test_a_line_in_many_surroundings(spark, monkeypatch, limit):
-    """One line shared by most documents, in the suffix sort and where its anchors are too many for one task."""
+def _without_repeats(rows, length=200):
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) by counting every string."""
+    raws = [(t or "").encode() for _, t in rows]
+    c = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
+    out = []
+    for (doc, _), r in zip(rows, raws, strict=True):
+        depth = [0] * (len(r) + 1)
+        for i in range(len(r) - length + 1):
+            if c[r[i : i + length]] > 1:
+                depth[i] += 1
+                depth[i + length] -= 1
+        gone = [x > 0 for x in accumulate(depth[:-1])]
+        kept = bytes(b for b, g in zip(r, gone, strict=True) if not g)
+        out.append((doc, len(r), sum(gone), sum(g and not p for g, p in zip(gone, [False, *gone], strict=False)), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def _stripped(spark, rows, length=200, **more):
+    got = suffixes.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), length, **more)
+    return sorted((tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str)
+
+
+@pytest.mark.parametrize(("crowd", "sort_bytes"), [(5000, 1 << 20), (20, 3000), (3, 3000)])
+def test_a_line_in_many_surroundings(spark, monkeypatch, crowd, sort_bytes):
+    """One line shared by most documents: in the suffix sort, and where its anchors have too many runs for one task, at both further cuts."""
     rng = random.Random(5)
     some = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
-    line, around = some(25), [some(20) for _ in range(12)]
+    line, around = some(50), [some(20) for _ in range(12)]
     rows = [(i, (rng.choice(around) + line + rng.choice(around) if rng.random() < 0.7 else some(60) + line) + some(rng.randint(0, 30))) for i in range(200)]
-    rows += [(i + 1000, rows[7][1]) for i in range(20)] + [rows[3]] * 3 + [(5000, None), (5001, ""), (None, rows[9][1])]
-    raws = [(t or "").encode() for _, t in rows]
-    c = Counter(r[i : i + 200] for r in raws for i in range(len(r) - 199))
-    want = []
-    for (doc, _), r in zip(rows, raws, strict=True):
-        gone = bytearray(len(r))
-        for i in range(len(r) - 199):
-            if c[r[i : i + 200]] > 1:
-                gone[i : i + 200] = b"\1" * 200
-        want.append((doc, sum(gone), hashlib.sha256(bytes(b for b, g in zip(r, gone, strict=True) if not g)).hexdigest()))
-    if limit:
-        monkeypatch.setattr(suffixes, "SORT_BYTES", limit)
-    got = [(r.doc_id, r.n_removed, r.kept_sha256) for r in suffixes.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+    rows += [(i + 1000, rows[7][1]) for i in range(20)] + [rows[3]] * 3 + [(5000, None), (5001, ""), (None, rows[9][1]), (None, None)]
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    monkeypatch.setattr(suffixes, "SORT_BYTES", sort_bytes)
+    assert _stripped(spark, rows) == _without_repeats(rows)
+
+
+def test_repeats_in_texts_of_low_entropy_and_texts_beyond_the_buffer(spark, monkeypatch):
+    rng = random.Random(6)
+    morse = lambda n: "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    rows = [(1, "a" * 5000), (2, "a" * 150 + "b" * 300), (3, "ab" * 700), (4, morse(3000)), (5, morse(4096).translate(str.maketrans("ab", "ba"))), (6, "".join(rng.choice("abcdé") for _ in range(4000)))]
+    rows += [(7, rows[5][1][1000:3000] + "a" * 220), (8, "x" + morse(900)), (9, "short")]
+    want = _without_repeats(rows)
+    assert _stripped(spark, rows) == want
+    monkeypatch.setattr(suffixes, "BUFFER", 700)  # every longer text comes in pieces
+    monkeypatch.setattr(suffixes, "CROWD", 4)
+    assert _stripped(spark, rows) == want
+
+
+def test_a_text_over_a_mebibyte(spark):
+    rng = random.Random(7)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(suffixes.BUFFER + 3000))
+    rows = [(1, long), (2, long[suffixes.BUFFER - 150 : suffixes.BUFFER + 400]), (3, "z" + long[:260])]
+    got = {r[0]: r[2:4] for r in _stripped(spark, rows)}
+    assert got == {1: (550 + 260, 2), 2: (550, 1), 3: (260, 1)}
+
+
+def test_a_collision_of_runs_removes_nothing(spark):
+    """With base 1 permutations of one another have one hash; the comparison of bytes tells them apart or refuses."""
+    rng = random.Random(8)
+    letters = list("abcdefghij" * 30)
+    rows = []
+    for i in range(12):
+        rng.shuffle(letters)
+        rows.append((i, "".join(letters)))
+    try:
+        assert _stripped(spark, rows, base=1) == _without_repeats(rows)
+    except Exception as e:
+        assert "another base" in str(e)
+
+
+@pytest.mark.parametrize("length", [8, 20, 64])
+def test_strings_of_other_lengths(spark, length):
+    rng = random.Random(length)
+    rows = [(i, "".join(rng.choice("ab ") for _ in range(rng.randint(0, 400)))) for i in range(40)]
+    assert _stripped(spark, rows, length) == _without_repeats(rows, length)
 
 
 def test_mixing_equals_sql_and_mix_takes_what_shares_say(spark, docs):
