@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import accumulate
 
 import duckdb
+import numpy as np
 import pytest
 
 from keyprune.llm import bpe, cws, flac, jaccard, langid, maxent, mixing, quality, suffixes, urls
@@ -193,6 +194,53 @@ def test_lm_base_scores(docs):
     assert sorted((r.n_tokens, r.n_known, round(r.base_score, 4)) for r in out) == want and all(r.score < 0 for r in out)
 
 
+def _prose(n, seed):
+    rng = random.Random(seed)
+    words = ["the", "of", "and"] * 8 + ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    out = []
+    for i in range(n):
+        w = ["the"]
+        while len(w) < 80:
+            w.append("cat" if w[-1] == "the" and rng.random() < 0.8 else rng.choice(words))
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_lm_is_the_same_for_any_partitions_and_better_than_the_base(spark):
+    rows = _prose(150, 3)
+    found = []
+    for n in (1, 16):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        learned = docs.filter("doc_id % 5 != 0")
+        counts = maxent.count(learned)
+        vocab = maxent.vocabulary(counts)
+        found.append({r.doc_id: (r.score, r.base_score) for r in maxent.score(docs, counts, vocab, maxent.train(learned, vocab)).collect()})
+    assert all(abs(found[0][i][0] - found[1][i][0]) < 1e-9 for i, _ in rows)
+    held = [found[0][i] for i, _ in rows if i % 5 == 0]
+    assert sum(s for s, _ in held) > sum(b for _, b in held) * 0.97
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    learned = spark.createDataFrame(_prose(60, 4), "doc_id long, text string")
+    counts = maxent.count(learned)
+    vocab = maxent.vocabulary(counts)
+    model = maxent.train(learned, vocab, 3)
+    words = sorted({w for _, t in _prose(60, 4) for w in t.encode().split()})
+    g = maxent._Group([b" ".join(words).decode()], vocab)
+    assert vocab.told > 3 and len(model.pairs)
+    for one, two in ((0, 0), (1, 5), (18, 17), (19, 1), (vocab.told + 16, 18)):
+        n = len(words)
+        kind, bucket = g.kind[g.tokens], g.bucket[g.tokens]
+        assert g.tokens[-1] == 0 and len(kind) == n + 1
+        log_p = model.of(kind, bucket, np.full(n + 1, one), np.full(n + 1, two)) - vocab.size[kind, bucket]
+        count = g.count[g.tokens]
+        total = sum(10 ** log_p[i] * (1 if kind[i] <= maxent.SINGLES else count[i] + 1) for i in range(n + 1))
+        left = [(k, b) for k in range(maxent.SINGLES + 1, maxent.CLASSES) for b in range(maxent.BUCKETS)]
+        rest = model.of(np.array([k for k, _ in left]), np.array([b for _, b in left]), np.full(len(left), one), np.full(len(left), two)) - np.array([vocab.size[k, b] for k, b in left])
+        unused = [j for j in range(1, maxent.SINGLES + 1) if j not in set(kind.tolist())]
+        assert not unused and abs(total + (10**rest).sum() - 1) < 1e-6  # the rest: unknown words
+
+
 def test_url_rules(spark):
     rows = [(1, "http://A.Example.com/en/7x?q"), (2, "https://b.example.com/en/8"), (3, "x://net/de/1"), (4, "http://example.net/de/8#a"), (5, None), (6, "no scheme"), (7, "http://notnet/de/"), (7, "http://notnet/de/")]
     out = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).filter("rule is not null").collect())
