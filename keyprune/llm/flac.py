@@ -1,13 +1,19 @@
-"""Media columns: texts as 8-bit mono FLAC streams with a seek point for each frame.
-
-Frames hold 576 samples. Each is coded by the fixed linear predictor of order 0, 1 or 2 with the smallest
-residuals, Rice-coded with the parameter that makes it shortest, or verbatim if that is shorter. All
-frames of a group of documents are coded and decoded together, one numpy step for each sample position.
-Reading checks the frame numbers, the CRC-8 of each header, the CRC-16 of each frame and the MD5 of the
-stream, and any range of samples can be read through the seek table alone.
-
-Defined results: a null or empty text is one frame of padding; equal texts give equal bytes; repeated rows
-are coded each; an empty table gives an empty table; further columns are ignored.
+"""Media columns: texts as 8-bit mono FLAC streams with seek points.
+
+Writing: frames hold 576 samples. Each is coded by the fixed linear predictor of order 0, 1 or 2 with the smallest
+residuals, Rice-coded with the parameter that makes it shortest, or verbatim if that is shorter. Each frame has a seek
+point (beyond POINTS frames every second, third .. one has: a seek table's length has 24 bits).
+
+Reading: `decode` reads any FLAC stream of up to 32 bits and 8 channels: constant, verbatim, fixed (orders 0 to 4) and
+linear-predictive subframes, partitioned Rice residuals of both kinds with escape codes, wasted bits, stereo
+decorrelation, with or without a seek table. Streams as written here are coded and decoded all frames of a group of
+documents together, one numpy step for each sample position. Either way the CRC-8 of each header, the CRC-16 of each
+frame and the MD5 of the stream are checked. Decoded streams are given out as PCM blocks with their sample offsets,
+and any range of samples of a stream written here can be read through the seek table alone.
+
+Defined results: a null or empty text is one frame of padding; equal texts give equal bytes; very long texts are one
+row, decoded in groups of GROUP frames; repeated rows are coded each, null doc_ids kept; an empty table gives an empty
+table; further columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ RATE = 8000
 #: Frames coded together, and payload bytes gathered before coding: bound a task's memory.
 GROUP = 2048
 GATHER = 4 << 20
+#: Points in a seek table at most.
+POINTS = ((1 << 24) - 1) // 18
 #: Unary parts stay below this, so that a code fits one 64-bit window.
 UNARY = 16
 
@@ -165,32 +173,185 @@ def encode_frames(samples: np.ndarray, numbers: list[int]) -> list[bytes]:
 
 
 def stream(frames: list[bytes], pcm: bytes) -> bytes:
-    """A whole FLAC stream: STREAMINFO, a seek point for each frame, the frames."""
+    """A whole FLAC stream: STREAMINFO, a seek point for each frame (of very many: for each k-th), the frames."""
     sizes = [len(f) for f in frames]
     info = struct.pack(">HH", BLOCK, BLOCK) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
     info += (RATE << 44 | 0 << 41 | 7 << 36 | len(frames) * BLOCK).to_bytes(8, "big") + hashlib.md5(pcm).digest()
-    points = np.zeros(len(frames), [("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")])
-    points["sample"] = np.arange(len(frames)) * BLOCK
-    points["offset"] = np.cumsum(sizes) - sizes
+    at = np.arange(0, len(frames), -(-len(frames) // POINTS))
+    points = np.zeros(len(at), [("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")])
+    points["sample"] = at * BLOCK
+    points["offset"] = (np.cumsum(sizes) - sizes)[at]
     points["samples"] = BLOCK
     table = points.tobytes()
-    return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + (len(table) & 0xFFFFFF).to_bytes(3, "big") + table + b"".join(frames)
+    return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + b"".join(frames)
 
 
-def layout(media: bytes) -> tuple[int, int, bytes, np.ndarray]:
-    """(samples, first byte of the frames, MD5, byte offset of each frame) from the stream's own head."""
+def layout(media: bytes) -> tuple[int, int, bytes, np.ndarray] | None:
+    """(samples, first byte of the frames, MD5, byte offset of each frame) of a stream as written here with a point for each frame."""
     if media[:4] != b"fLaC":
         raise ValueError("no FLAC stream")
-    word = int.from_bytes(media[18:26], "big")
-    total, at = word & (1 << 36) - 1, 42
-    frames = total // BLOCK
-    size = 18 * frames  # the seek table's own length field holds 24 bits; its size follows from the samples
-    if media[at] != 0x83 or int.from_bytes(media[at + 1 : at + 4], "big") != size & 0xFFFFFF:
-        raise ValueError("no seek table")
-    points = np.frombuffer(media, [("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")], frames, at + 4)
+    word, at = int.from_bytes(media[18:26], "big"), 42
+    total = word & (1 << 36) - 1
+    size = int.from_bytes(media[at + 1 : at + 4], "big")
+    if media[4] or media[8:12] != struct.pack(">HH", BLOCK, BLOCK) or word >> 36 != RATE << 8 | 7 or media[at] != 0x83 or size * BLOCK != 18 * total:
+        return None
+    points = np.frombuffer(media, [("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")], total // BLOCK, at + 4)
+    if (points["sample"] != np.arange(len(points)) * BLOCK).any() or (points["samples"] != BLOCK).any():
+        return None
     return total, at + 4 + size, media[26:42], points["offset"].astype(np.int64)
 
 
+class _Bits:
+    """Reads bits of a byte string, most significant first."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at = data, 8 * at
+
+    def take(self, n: int) -> int:
+        a, end = self.at, self.at + n
+        if end > 8 * len(self.data):
+            raise ValueError("the stream ends within a frame")
+        self.at = end
+        return int.from_bytes(self.data[a >> 3 : (end + 7) >> 3], "big") >> (-end & 7) & ((1 << n) - 1)
+
+    def signed(self, n: int) -> int:
+        x = self.take(n) if n else 0
+        return x - (1 << n) if n and x >> (n - 1) else x
+
+
+def _unary(bits: _Bits) -> int:
+    data, at = bits.data, bits.at
+    n = 0
+    while True:
+        room = 8 - (at & 7)
+        if at >> 3 >= len(data):
+            raise ValueError("the stream ends within a frame")
+        x = data[at >> 3] & ((1 << room) - 1)
+        if x:
+            n += room - x.bit_length()
+            bits.at = at + room - x.bit_length() + 1
+            return n
+        n, at = n + room, at + room
+
+
+def _residual(bits: _Bits, size: int, order: int) -> list[int]:
+    """Rice residuals of all partitions; a partition of the escape parameter holds plain numbers."""
+    kind = bits.take(2)
+    if kind > 1:
+        raise ValueError("an unknown residual coding")
+    width = 4 + kind
+    parts = bits.take(4)
+    if size >> parts << parts != size or size >> parts < order:
+        raise ValueError("partitions that do not divide the block")
+    out: list[int] = []
+    for i in range(1 << parts):
+        n = (size >> parts) - (0 if i else order)
+        k = bits.take(width)
+        if k == (1 << width) - 1:
+            plain = bits.take(5)
+            out += [bits.signed(plain) for _ in range(n)]
+            continue
+        for _ in range(n):
+            u = _unary(bits) << k | (bits.take(k) if k else 0)
+            out.append((u >> 1) ^ -(u & 1))
+    return out
+
+
+#: The coefficients of the format's fixed predictors, by order, nearest sample first.
+_FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
+
+
+def _subframe(bits: _Bits, size: int, depth: int) -> list[int]:
+    if bits.take(1):
+        raise ValueError("a subframe without its zero bit")
+    kind = bits.take(6)
+    wasted = _unary(bits) + 1 if bits.take(1) else 0
+    depth -= wasted
+    if kind == 0:
+        out = [bits.signed(depth)] * size
+    elif kind == 1:
+        out = [bits.signed(depth) for _ in range(size)]
+    elif 8 <= kind <= 12 or kind >= 32:
+        order = kind - 8 if kind < 32 else kind - 31
+        if order > size:
+            raise ValueError("a predictor longer than its block")
+        out = [bits.signed(depth) for _ in range(order)]
+        if kind < 32:
+            weights, shift = _FIXED[order], 0
+        else:
+            precision = bits.take(4) + 1
+            shift = bits.signed(5)
+            if precision == 16 or shift < 0:
+                raise ValueError("an invalid linear predictor")
+            weights = tuple(bits.signed(precision) for _ in range(order))
+        for r in _residual(bits, size, order):
+            out.append(r + (sum(w * out[-1 - i] for i, w in enumerate(weights)) >> shift))
+    else:
+        raise ValueError("an unknown kind of subframe")
+    return [x << wasted for x in out] if wasted else out
+
+
+#: The format's codes of block sizes and sample depths (0: in the stream's head or after the number).
+_SIZES = (0, 192, 576, 1152, 2304, 4608, 0, 0, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768)
+_DEPTHS = (0, 8, 12, 0, 16, 20, 24, 32)
+
+
+def _frame(data: bytes, at: int, head: int) -> tuple[np.ndarray, int]:
+    """((samples, channels), where the frame ends), after the checks of both its checksums. head: the depth in the stream's head."""
+    bits = _Bits(data, at)
+    if bits.take(15) != 0x7FFC:
+        raise ValueError("no frame where one should begin")
+    bits.take(1)
+    size, rate, channels, depth = (bits.take(n) for n in (4, 4, 4, 3))
+    if bits.take(1) or size == 0 or rate == 15 or channels > 10 or depth == 3:
+        raise ValueError("a reserved value in a frame's head")
+    first = bits.take(8)
+    bits.take(8 * max(0, (8 - (first ^ 0xFF).bit_length()) - 1))  # the rest of the number
+    n = bits.take(8 if size == 6 else 16) + 1 if size in (6, 7) else _SIZES[size]
+    bits.take({12: 8, 13: 16, 14: 16}.get(rate, 0))
+    if crc8(data[at : bits.at >> 3]) != bits.take(8):
+        raise ValueError("a frame header's CRC-8 is wrong")
+    depth = _DEPTHS[depth] or head
+    side = {8: 1, 9: 0, 10: 1}.get(channels)
+    rows = [_subframe(bits, n, depth + (i == side)) for i in range(2 if side is not None else channels + 1)]
+    bits.at = -(-bits.at // 8) * 8
+    if crc16_many(np.frombuffer(data, np.uint8), np.array([at]), np.array([(bits.at >> 3) - at]))[0] != bits.take(16):
+        raise ValueError("a frame's CRC-16 is wrong")
+    x = np.array(rows, np.int64)
+    if channels == 8:
+        x[1] = x[0] - x[1]
+    elif channels == 9:
+        x[0] = x[0] + x[1]
+    elif channels == 10:
+        middle = x[0] << 1 | x[1] & 1
+        x = np.stack(((middle + x[1]) >> 1, (middle - x[1]) >> 1))
+    return x.T, bits.at >> 3
+
+
+def decode(media: bytes) -> tuple[np.ndarray, int, int]:
+    """((samples, channels), sample rate, bits of a sample) of any FLAC stream, fully checked."""
+    if media[:4] != b"fLaC":
+        raise ValueError("no FLAC stream")
+    at, last, info = 4, False, b""
+    while not last:
+        kind, size = media[at], int.from_bytes(media[at + 1 : at + 4], "big")
+        if kind & 127 == 0:
+            info = media[at + 4 : at + 4 + size]
+        last, at = bool(kind >> 7), at + 4 + size
+    word = int.from_bytes(info[10:18], "big")
+    rate, channels, depth, total = word >> 44, (word >> 41 & 7) + 1, (word >> 36 & 31) + 1, word & (1 << 36) - 1
+    blocks, have = [np.zeros((0, channels), np.int64)], 0
+    while at < len(media) and (not total or have < total):
+        block, at = _frame(media, at, depth)
+        blocks.append(block)
+        have += len(block)
+    out = np.concatenate(blocks)
+    width = -(-depth // 8)
+    if total and have != total or any(info[18:34]) and hashlib.md5(out.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()).digest() != info[18:34]:
+        raise ValueError("the samples differ from the stream's head")
+    return out, rate, depth
+
+
 def decode_frames(flat: np.ndarray, start: np.ndarray, length: np.ndarray, numbers: list[int]) -> np.ndarray:
     """The signed samples (frames, 576), after the checks of headers and CRCs."""
     count = len(start)
@@ -275,7 +436,9 @@ def store(payloads: list[bytes]) -> list[bytes]:
 
 
 def load(media: list[bytes]) -> list[np.ndarray]:
-    """The signed 8-bit samples of each stream, fully checked."""
+    """The signed 8-bit samples of each mono stream, fully checked."""
+    if any(layout(m) is None for m in media):
+        return [load([m])[0] if layout(m) else _mono(m) for m in media]
     heads = [layout(m) for m in media]
     base = np.cumsum([0, *(len(m) for m in media[:-1])])
     flat = np.frombuffer(b"".join(media), np.uint8)
@@ -297,9 +460,24 @@ def load(media: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def _mono(media: bytes) -> np.ndarray:
+    samples, _, depth = decode(media)
+    if samples.shape[1] != 1 or depth != 8:
+        raise ValueError("not 8-bit mono: use decode")
+    return samples[:, 0].astype(np.int8)
+
+
+def blocks_of(samples: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(sample offset, PCM) of each block of a stream's samples."""
+    for at in range(0, len(samples), BLOCK):
+        yield at, samples[at : at + BLOCK].tobytes()
+
+
 def read_range(media: bytes, first: int, count: int) -> np.ndarray:
     """Samples [first, first + count), decoding only the frames that hold them."""
-    total, body, _, offsets = layout(media)
+    if (found := layout(media)) is None:
+        return _mono(media)[first : first + max(0, count)]
+    total, body, _, offsets = found
     count = max(0, min(count, total - first))
     if not count:
         return np.zeros(0, np.int8)
@@ -348,8 +526,8 @@ def pcm_blocks(df: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for doc, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                pcm = load([m])[0].reshape(-1, BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(pcm), pa.int64()), pa.array(np.arange(len(pcm)) * BLOCK, pa.int64()), pa.array([x.tobytes() for x in pcm], pa.binary())], names=["doc_id", "sample_offset", "pcm"])
+                at, pcm = zip(*blocks_of(load([m])[0]), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(pcm), pa.int64()), pa.array(at, pa.int64()), pa.array(pcm, pa.binary())], names=["doc_id", "sample_offset", "pcm"])
 
     return map_arrow(df.select("doc_id", "media"), run, "doc_id long, sample_offset long, pcm binary")
 
@@ -364,7 +542,7 @@ def digests(df: DataFrame) -> DataFrame:
             media = store([p for _, _, p in group])
             rows = []
             for (doc, n, _), m, samples in zip(group, media, load(media), strict=True):
-                back = (samples.astype(np.int16) + 128).astype(np.uint8).tobytes()
+                back = b"".join((np.frombuffer(pcm, np.int8).astype(np.int16) + 128).astype(np.uint8).tobytes() for _, pcm in blocks_of(samples))
                 rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(samples)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 

@@ -1,5 +1,6 @@
 """The operators' kernels against brute force, without Spark."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -119,6 +120,120 @@ def test_flac_round_trip_seek_and_checks():
         flac.load([bytes(bad)])
 
 
+class _Writer:
+    def __init__(self):
+        self.bits = []
+
+    def put(self, x, n):
+        self.bits += [x >> (n - 1 - i) & 1 for i in range(n)]
+
+    def bytes(self):
+        return np.packbits(np.array(self.bits + [0] * (-len(self.bits) % 8), np.uint8)).tobytes()
+
+
+def _rice(w, res, order, parts, method, escape):
+    """Residuals in 2^parts partitions, the first of them with an escape code where asked."""
+    w.put(method, 2)
+    w.put(parts, 4)
+    width, size, at = 4 + method, (len(res) + order) >> parts, 0
+    for i in range(1 << parts):
+        own = res[at : at + size - (0 if i else order)]
+        at += len(own)
+        if escape and not i:
+            plain = max((abs(r).bit_length() + 1 for r in own), default=0)
+            w.put((1 << width) - 1, width)
+            w.put(plain, 5)
+            for r in own:
+                w.put(r & ((1 << plain) - 1), plain)
+            continue
+        k = 3 + i % 2
+        w.put(k, width)
+        for r in own:
+            u = r << 1 if r >= 0 else (-r << 1) - 1
+            w.put(1, (u >> k) + 1)
+            w.put(u & ((1 << k) - 1), k)
+
+
+def _made(channels, depth, kind, weights=(), shift=0, parts=0, method=0, escape=False, wasted=0, assignment=None, size_code=7):
+    """One FLAC stream of one frame, without a seek table, by the format's own description."""
+    n = len(channels[0])
+    w = _Writer()
+    w.put(0x7FFC << 1, 16)
+    w.put(size_code, 4)
+    w.put(0, 4)
+    w.put(len(channels) - 1 if assignment is None else assignment, 4)
+    w.put({8: 1, 12: 2, 16: 4, 24: 6}[depth], 3)
+    w.put(0, 1)
+    w.put(0, 8)
+    if size_code in (6, 7):
+        w.put(n - 1, 8 if size_code == 6 else 16)
+    w.put(flac.crc8(w.bytes()), 8)
+    coded = channels
+    if assignment == 8:
+        coded = [channels[0], [a - b for a, b in zip(*channels, strict=True)]]
+    elif assignment == 9:
+        coded = [[a - b for a, b in zip(*channels, strict=True)], channels[1]]
+    elif assignment == 10:
+        coded = [[(a + b) >> 1 for a, b in zip(*channels, strict=True)], [a - b for a, b in zip(*channels, strict=True)]]
+    for i, x in enumerate(coded):
+        bits = depth + (assignment in (8, 10) and i == 1 or assignment == 9 and i == 0)
+        order = len(weights)
+        w.put(0, 1)
+        w.put({"constant": 0, "verbatim": 1, "fixed": 8 + order, "lpc": 31 + order}[kind], 6)
+        w.put(1 if wasted else 0, 1)
+        if wasted:
+            w.put(1, wasted)
+            x, bits = [v >> wasted for v in x], bits - wasted
+        mask = (1 << bits) - 1
+        for v in x[: {"constant": 1, "verbatim": n}.get(kind, order)]:
+            w.put(v & mask, bits)
+        if kind == "lpc":
+            w.put(11, 4)
+            w.put(shift, 5)
+            for c in weights:
+                w.put(c & 4095, 12)
+        if kind in ("fixed", "lpc"):
+            res = [x[t] - (sum(c * x[t - 1 - j] for j, c in enumerate(weights)) >> shift) for t in range(order, n)]
+            _rice(w, res, order, parts, method, escape)
+    frame = w.bytes()
+    frame += int(flac.crc16_many(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]))[0]).to_bytes(2, "big")
+    pcm = np.array(channels, np.int64).T.astype("<i8").copy().view(np.uint8).reshape(-1, 8)[:, : -(-depth // 8)].tobytes()
+    info = n.to_bytes(2, "big") * 2 + bytes(6) + (44100 << 44 | (len(channels) - 1) << 41 | (depth - 1) << 36 | n).to_bytes(8, "big") + hashlib.md5(pcm).digest()
+    return b"fLaC\x80" + len(info).to_bytes(3, "big") + info + frame
+
+
+def test_flac_reads_all_kinds_of_subframes():
+    rng = np.random.default_rng(9)
+    wave = [int(90 * np.sin(i / 9)) + int(x) for i, x in enumerate(rng.integers(-3, 4, 192))]
+    loud = [200 * x for x in wave]
+    other = [x + int(d) for x, d in zip(loud, rng.integers(-20, 21, 192), strict=True)]
+    lpc = {"kind": "lpc", "weights": (1900, -900, 20), "shift": 10}
+    cases = [([wave], 8, {"kind": "verbatim"}), ([[7] * 192], 8, {"kind": "constant"}), ([wave], 8, lpc), ([wave], 8, lpc | {"parts": 3, "escape": True}), ([loud], 16, lpc | {"method": 1, "parts": 2, "escape": True})]
+    cases += [([wave], 8, {"kind": "fixed", "weights": c, "parts": 1}) for c in ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))]
+    cases += [([[x << 2 for x in wave]], 12, {"kind": "fixed", "weights": (2, -1), "wasted": 2}), ([wave], 8, {"kind": "verbatim", "size_code": 1}), ([wave], 8, {"kind": "verbatim", "size_code": 6})]
+    cases += [([loud, other], 16, lpc | {"assignment": a}) for a in (None, 8, 9, 10)] + [([loud, other, wave], 24, {"kind": "verbatim"})]
+    for channels, depth, how in cases:
+        media = _made(channels, depth, **how)
+        samples, rate, bits = flac.decode(media)
+        assert samples.T.tolist() == channels and (rate, bits) == (44100, depth)
+        bad = bytearray(media)
+        bad[-5] ^= 1
+        with pytest.raises(ValueError):
+            flac.decode(bytes(bad))
+    mono = _made([wave], 8, **lpc)
+    own = flac.store([flac.payload_of("héllo " * 300)[1]])[0]
+    assert [x.tolist() for x in flac.load([mono, own])] == [wave, flac.load([own])[0].tolist()]
+    assert (flac.decode(own)[0][:, 0] == flac.load([own])[0]).all() and flac.read_range(mono, 5, 7).tolist() == wave[5:12]
+
+
+def test_flac_of_more_frames_than_a_seek_table_holds(monkeypatch):
+    monkeypatch.setattr(flac, "POINTS", 7)
+    payload = flac.payload_of("some words in a long text " * 500)[1]
+    media = flac.store([payload])[0]
+    assert flac.layout(media) is None and int.from_bytes(media[43:46], "big") <= 18 * 7
+    assert ((flac.load([media])[0].astype(np.int16) + 128).astype(np.uint8).tobytes()) == payload
+
+
 def test_small_models():
     good, bad = ["The cat sat on a mat and slept well today."] * 30, ["BUY NOW!! CHEAP!! CLICK!!"] * 30
     net = quality.train([t.encode() for t in good + bad], [1] * 30 + [0] * 30)
