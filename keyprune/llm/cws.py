@@ -2,15 +2,20 @@
 
 A document is its words (white space splits, A-Z in lower case) weighted by their counts. For each of SAMPLES
 draws every word has its own r and c from Gamma(2, 1) and its own uniform beta, all taken from hashes of the
-word and the draw; with weight S it gets t = floor(ln S / r + beta) and ln a = ln c - r (t - beta) - r. The word
-of the smallest a is the sample, and (word, t) its value: two documents agree in a draw with the probability
-of their generalised Jaccard similarity, sum of minima / sum of maxima of the weights. Each draw keeps 23 bits
-of its value, six hexadecimal digits of the fingerprint.
+word and the draw, 32 bits for each uniform; with weight S it gets t = floor(ln S / r + beta) and
+ln a = ln c - r (t - beta) - r. The word of the smallest a is the sample, and (word, t) its value: two documents
+agree in a draw with the probability of their generalised Jaccard similarity, sum of minima / sum of maxima of the
+weights. Each draw keeps 23 bits of its value, six hexadecimal digits of the fingerprint.
+
+Logarithms are the cost, and most words cannot be the sample: with p and q the products of uniforms whose negative
+logarithms are r and c, a is at least 2 p (1 - q) / (1 + q) / S, and the smallest a of a document of weight W is Exp(W). A word
+whose bound lies beyond SURE / W is passed over; that all of a document's words do so has the probability
+exp(-SURE), 4e-18 for a draw, which then counts as 000000. A document and its edited text share their words' r and c.
 
 Defined results: a null text counts as empty; texts without words share one fingerprint of `-` and are alike
 (1) among themselves, unlike (0) all others; the order of documents is descending doc_id, null last, equal ones by text;
-the last one's next document is the first (a lone document's is itself); an empty table gives an empty table;
-further columns are ignored.
+the last one's next document is the first (a lone document's is itself); very long texts are split whole, in one row;
+an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,29 +28,32 @@ from pyspark.sql import functions as F
 from .common import parts, read
 
 SAMPLES = 64
+SURE = 40
 _BITS = 23
 _SPACE = r"[\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _draw(word: Column, log_weight: Column, j: int) -> Column:
-    """ln a in fixed point, then the bits of (word, t): the smallest of these longs is the draw's sample."""
-    h = F.xxhash64(word, F.lit(j))
-    u = [(F.shiftrightunsigned(h, 16 * i).bitwiseAND(F.lit(0xFFFF)) + 0.5) / 65536.0 for i in range(4)]
-    r, c = -F.ln(u[0] * u[1]), -F.ln(u[2] * u[3])
-    beta = (F.xxhash64(h).bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) / 4294967296.0
-    t = F.floor(log_weight / r + beta)
-    log_a = F.ln(c) - r * (t - beta) - r
-    place = F.floor((log_a + 128.0) * 4294967296.0)
-    return F.shiftleft(place, _BITS).bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit((1 << _BITS) - 1)))
-
-
-def signatures(words: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys, fingerprint, from rows (keys, word: its hash). Rows of equal keys must lie in one partition, or are shuffled."""
-    counted = words.groupBy(*keys, "word").agg(F.count("*").alias("n")).withColumn("__ln", F.ln("n"))
-    drawn = counted.groupBy(*keys).agg(*(F.min(_draw(F.col("word"), F.col("__ln"), j)).alias(f"__{j}") for j in range(samples)))
-    digits = [F.lpad(F.lower(F.hex(F.col(f"__{j}").bitwiseAND(F.lit((1 << _BITS) - 1)))), 6, "0") for j in range(samples)]
-    return drawn.select(*keys, F.concat(*digits).alias("fingerprint"))
+def signatures(words: DataFrame, keys: list[str], kinds: int = 1, samples: int = SAMPLES) -> DataFrame:
+    """keys, fingerprint_0 .., from rows (keys, kind: 0 .. kinds - 1, word: its hash); a document may have texts of several kinds.
+    Rows of equal keys must lie in one partition, or are shuffled. A row for each word and draw, of which the bound leaves few, costs
+    less than an expression for each draw: the code stays small enough to be compiled."""
+    counted = words.groupBy(*keys, "word").agg(*(F.sum((F.col("kind") == i).cast("long")).alias(f"__n{i}") for i in range(kinds)))
+    whole = Window.partitionBy(*keys)
+    share = F.greatest(*(F.col(f"__n{i}") / F.nullif(F.sum(f"__n{i}").over(whole), F.lit(0)) for i in range(kinds)), F.lit(0.0))
+    counted = counted.select(*keys, "word", (share * float(SURE)).alias("__bound"), *(F.ln(F.nullif(f"__n{i}", F.lit(0))).alias(f"__ln{i}") for i in range(kinds)))
+    lower, upper = (lambda h: (F.col(h).bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) / 4294967296.0), (lambda h: (F.shiftrightunsigned(h, 32) + 0.5) / 4294967296.0)
+    draws = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("__j")).withColumn("__one", F.xxhash64("word", "__j")).withColumn("__two", F.xxhash64("__one"))
+    draws = draws.withColumns({"__p": lower("__one") * upper("__one"), "__q": lower("__two") * upper("__two")})
+    draws = draws.filter("__p * 2.0D * (1.0D - __q) < __bound * (1.0D + __q)")  # -ln q is 2 (1 - q) / (1 + q) at least
+    draws = draws.withColumns({"__r": -F.ln("__p"), "__lc": F.ln(-F.ln("__q")), "__three": F.xxhash64("__two")}).withColumn("__beta", lower("__three"))
+    draws = draws.withColumns({f"__t{i}": F.floor(F.col(f"__ln{i}") / F.col("__r") + F.col("__beta")) for i in range(kinds)})
+    place = lambda i: F.floor((F.col("__lc") - F.col("__r") * (F.col(f"__t{i}") - F.col("__beta")) - F.col("__r") + 128.0) * 4294967296.0)
+    value = lambda i: F.shiftleft(place(i), _BITS).bitwiseOR(F.col("__two").bitwiseXOR(F.col(f"__t{i}")).bitwiseAND(F.lit((1 << _BITS) - 1)))
+    drawn = draws.groupBy(*keys, "__j").agg(*(F.min(value(i)).alias(f"__v{i}") for i in range(kinds)))
+    rows = drawn.groupBy(*keys).agg(*(F.map_from_entries(F.collect_list(F.struct("__j", f"__v{i}"))).alias(f"__m{i}") for i in range(kinds)), *(F.max(f"__v{i}").alias(f"__any{i}") for i in range(kinds)))
+    digits = lambda i: F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda j: F.lpad(F.lower(F.hex(F.coalesce(F.try_element_at(f"__m{i}", j), F.lit(0)).bitwiseAND(F.lit((1 << _BITS) - 1)))), 6, "0"))
+    return rows.select(*keys, *(F.when(F.col(f"__any{i}").isNotNull(), F.array_join(digits(i), "")).alias(f"fingerprint_{i}") for i in range(kinds)))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -87,8 +95,7 @@ def compare(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("next_text", F.lit("")), F.lit(1), half)))
     texts = rows.select("part", "rn", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x"))
     words = texts.select("part", "rn", F.col("x.kind").alias("kind"), F.explode(F.split(F.translate("x.t", _UPPER, _LOWER), _SPACE)).alias("w")).filter("w != ''")
-    prints = signatures(words.select("part", "rn", "kind", F.xxhash64("w").alias("word")), ["part", "rn", "kind"], samples)
-    prints = prints.groupBy("part", "rn").agg(F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
+    prints = signatures(words.select("part", "rn", "kind", F.xxhash64("w").alias("word")), ["part", "rn"], 2, samples).withColumnsRenamed({"fingerprint_0": "fingerprint", "fingerprint_1": "edited_fingerprint"})
     facts = rows.select("part", "rn", "head", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     out = facts.join(prints, ["part", "rn"], "left").withColumns({c: F.coalesce(c, F.lit("-")) for c in ("fingerprint", "edited_fingerprint")})
     out = out.withColumn("__next", F.lead("fingerprint").over(Window.partitionBy("part").orderBy("rn"))).filter("head = 0")
