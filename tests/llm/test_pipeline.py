@@ -90,7 +90,7 @@ def mixed(docs: list[dict]) -> list[dict]:
     out = []
     for s, ds in sources.items():
         epochs, rest = divmod(int(target[s] + 0.5), size[s])
-        for d in sorted(ds, key=lambda d: hashlib.md5(f"mix{d['doc_id']}".encode()).hexdigest()):
+        for d in sorted(ds, key=lambda d: hashlib.md5(f"mix{d['doc_id']}|{d['text'] or ''}".encode()).hexdigest()):
             words = list(WORD.finditer(d["text"] or ""))
             out += [d] * epochs
             part = min(rest, len(words))
