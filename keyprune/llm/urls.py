@@ -4,16 +4,19 @@ Two smoothed variable-order Markov models, of the URLs that the rules accept and
 give each URL the mean over its characters of log p(accepted) - log p(rejected). Order k backs off to order
 k - 1: p_k = (n(context, char) + SMOOTH * p_(k-1)) / (n(context) + SMOOTH). Counts are exact:
 a position's characters of all orders are its window, and each distinct window of the table meets the counts
-in joins once, its positions the result. The threshold is calibrated on all URLs that a rule judges:
-the point between the two classes' means, each as far in its own standard deviations.
+in joins once, its positions the result. The models learn from the URLs that a rule judges but for a part held out by a
+hash, on which the threshold is calibrated: the point between the two classes' means, each as far in its own standard
+deviations. Where the held-out part lacks a class, all judged URLs stand in for it.
 
 Defined results: a null URL, or one without `://`, has an empty host and path, no rule, and is scored by the
 models as the empty text (0); without accepted URLs in the table all others are blocked if any is rejected,
-else allowed; repeated rows are judged each; an empty table gives an empty table; further columns are ignored.
+else allowed; a score at the threshold is allowed; very long URLs are scored whole; repeated rows are judged each; an
+empty table gives an empty table; further columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,6 +107,20 @@ def scores(rows: DataFrame, found: DataFrame) -> DataFrame:
     return at.join(salted, ["window", "salt"]).groupBy("row").agg((F.sum("ratio") * UNIT / F.count("*")).alias("score"))
 
 
+def held_out(url: Column) -> Column:
+    """Three sixteenths of all URLs, by hash: models do not learn from these, the threshold is calibrated on them."""
+    return F.substring(F.md5(url), 1, 1) < "3"
+
+
+def _spread(rows: list) -> dict[str, tuple[float, float]]:
+    """Mean and standard deviation of each verdict's scores."""
+    out = {}
+    for v in sorted({r.verdict for r in rows}):
+        n, s, q = (sum(r[k] for r in rows if r.verdict == v) for k in ("n", "s", "q"))
+        out[v] = (s / n, math.sqrt(max(0.0, q / n - (s / n) ** 2)))
+    return out
+
+
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score."""
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -111,15 +128,17 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     by_rule = F.lit(None).cast("string")
     for r in rules:
         by_rule = F.when(F.col("rule") == r.text, F.lit(r.verdict)).otherwise(by_rule)
-    split = split.withColumn("ruled", by_rule)
+    split = split.withColumns({"ruled": by_rule, "tried": held_out(F.concat("host", "path"))})
     split = stored(split.select("*", F.monotonically_increasing_id().alias("row"), _marked(F.col("host"), F.col("path")).alias("s")))
-    found = stored(ratios(stored(learn(split))))
+    found = stored(ratios(stored(learn(split.withColumn("ruled", F.when(~F.col("tried"), F.col("ruled")))))))
     split = stored(split.join(scores(split, found), "row", "left").drop("row", "s").withColumn("score", F.coalesce("score", F.lit(0.0))))
     judged = split.filter(F.col("ruled").isNotNull())
-    spread = {r.verdict: r for r in judged.groupBy(F.col("ruled").alias("verdict")).agg(F.mean("score").alias("mean"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("sd")).collect()}
+    parts = judged.groupBy(F.col("ruled").alias("verdict"), "tried").agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("q")).collect()
+    some = [r for r in parts if r.tried]
+    spread = _spread(some if len({r.verdict for r in some}) == 2 else parts)
     if len(spread) == 2:
         a, b = spread["allow"], spread["block"]
-        least = (a["mean"] * (b.sd + 1e-9) + b["mean"] * (a.sd + 1e-9)) / (a.sd + b.sd + 2e-9)
+        least = (a[0] * (b[1] + 1e-9) + b[0] * (a[1] + 1e-9)) / (a[1] + b[1] + 2e-9)
     else:
         least = float("inf") if "block" in spread else float("-inf")
     return split.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= least, "allow").otherwise("block")).alias("verdict"), "score")
