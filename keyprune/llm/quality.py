@@ -1,15 +1,17 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Filters of WIDTH bytes slide over the whole document by STRIDE; positions are pooled by maximum in
-overlapping chunks (each filter reads past its chunk's end into the next), and the chunks' maxima give a
-document its features: per filter their maximum and their mean. A second bank correlates the bytes with
+Filters of WIDTH bytes slide over the whole document by STRIDE; positions are pooled by maximum in chunks of
+CHUNK positions, each of which overlaps the next by half, and the chunks' maxima give a document its features:
+per filter their maximum and their mean. A second bank correlates the bytes with
 themselves LAGS places back (the share of equal bytes in a chunk, pooled by maximum), which a filter of
 fixed bytes cannot see. A logistic unit combines all into one probability. Trained by Adam on at most
-`per_label` labelled documents of each label.
+`per_label` labelled documents of each label, of at most MOST_BYTES bytes each.
 
 Defined results: a null or empty text is scored as padding alone; without training rows each score is 0.5
 (predicted 1); labels other than 0 and 1, null labels and repeated labels count as what they are (the first
-two are left out, repeats weigh twice); an empty table gives an empty table; further columns are ignored.
+two are left out, repeats weigh twice); of rows of one doc_id the model learns from one; equal scores are ties that stay
+ties; very long texts are scored whole, alone; an empty table gives an empty table; further columns, of whatever names, are
+ignored, and kept by `keep_good`.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ from .common import fold, map_arrow, read
 WIDTH, STRIDE, FILTERS = 6, 3, 16
 #: Distances of the bytes compared by the second bank.
 LAGS = range(2, 21)
-#: Filter positions in a chunk: 512 bytes or so.
+#: Filter positions in a chunk: 512 bytes or so. Half of them are the next chunk's, too.
 CHUNK = 170
+HOP = CHUNK // 2
 #: Bytes scored together.
 GATHER = 1 << 20
 #: Labelled documents of each label to train on, chosen by a hash of doc_id over all labels.
 PER_LABEL = 1500
+MOST_BYTES = 1 << 16
 
 
 @dataclass
@@ -48,11 +52,14 @@ class Net:
     def _features(self, texts: list[bytes]) -> np.ndarray:
         flat, first, count = _laid_out(texts)
         act = self._conv(flat)
-        starts = np.concatenate([np.append(np.arange(a, a + n, CHUNK), a + n) for a, n in zip(first.tolist(), count.tolist(), strict=True)])
-        chunks = -(-count // CHUNK)
-        ends = np.cumsum(chunks + 1) - 1
-        pooled = np.maximum(np.delete(np.maximum.reduceat(act, np.minimum(starts, len(act) - 1), axis=0), ends, axis=0), 0)
-        at = np.cumsum(chunks) - chunks
+        starts = np.concatenate([np.append(np.arange(a, a + n, HOP), a + n) for a, n in zip(first.tolist(), count.tolist(), strict=True)])
+        halves = -(-count // HOP)
+        ends = np.cumsum(halves + 1) - 1
+        half = np.maximum(np.delete(np.maximum.reduceat(act, np.minimum(starts, len(act) - 1), axis=0), ends, axis=0), 0)
+        at, chunks = np.cumsum(halves) - halves, halves
+        last = at + halves - 1
+        pooled = np.maximum(half, half[np.minimum(np.arange(len(half)) + 1, len(half) - 1)])  # a chunk: a half and the one after it
+        pooled[last] = half[last]
         return np.concatenate((np.maximum.reduceat(pooled, at, axis=0), np.add.reduceat(pooled, at, axis=0) / chunks[:, None], _repeats(flat, starts, ends, at)), axis=1)
 
     def _conv(self, flat: np.ndarray) -> np.ndarray:
@@ -72,14 +79,19 @@ class Net:
 def _repeats(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each document and lag the largest share, over its chunks, of bytes equal to the one so far back."""
     begin = starts * STRIDE
-    size = np.maximum(np.delete(np.append(begin[1:], begin[-1]) - begin, ends), 150)[:, None]
+    size = np.maximum(np.delete(np.append(begin[1:], begin[-1]) - begin, ends), 75)
     out = np.empty((len(begin), len(LAGS)), np.int64)
     same = np.zeros(len(flat) + 1, np.uint8)
     for i, lag in enumerate(LAGS):
         same[:lag] = 0
         same[lag:-1] = (flat[lag:] == flat[:-lag]) & (flat[lag:] != 0)
         out[:, i] = np.add.reduceat(same, np.minimum(begin, len(flat)), dtype=np.int64)
-    return 4 * np.maximum.reduceat(np.delete(out, ends, axis=0) / size, at, axis=0)
+    out = np.delete(out, ends, axis=0)
+    after = np.minimum(np.arange(len(out)) + 1, len(out) - 1)
+    after[np.append(at[1:], len(out)) - 1] = np.append(at[1:], len(out)) - 1  # the last half has none after it
+    alone = (after == np.arange(len(out)))[:, None]
+    share = np.where(alone, out / np.maximum(size, 150)[:, None], (out + out[after]) / np.maximum(size + size[after], 150)[:, None])
+    return 4 * np.maximum.reduceat(share, at, axis=0)
 
 
 def _groups(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -128,12 +140,15 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 8, seed: int = 7)
                 flat, _, count = _laid_out([texts[i]])
                 n = int(count[0])
                 act = net._conv(flat)[:n]
-                chunks = -(-n // CHUNK)
-                full = np.full((chunks * CHUNK, FILTERS), -np.inf, np.float32)
+                halves = -(-n // HOP)
+                full = np.full((halves * HOP, FILTERS), -np.inf, np.float32)
                 full[:n] = act
-                full = full.reshape(chunks, CHUNK, FILTERS)
-                where = full.argmax(1)
+                full = full.reshape(halves, HOP, FILTERS)
+                where = full.argmax(1) + np.arange(halves)[:, None] * HOP
                 top = full.max(1)
+                after = np.minimum(np.arange(halves) + 1, halves - 1)
+                second = top[after] > top  # whether the chunk's maximum lies in its second half
+                where, top = np.where(second, where[after], where), np.maximum(top, top[after])
                 pooled = np.maximum(top, 0)
                 best = pooled.argmax(0)
                 feat = np.concatenate((pooled.max(0), pooled.mean(0), repeats[i]))
@@ -141,11 +156,11 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 8, seed: int = 7)
                 g = (p - y[i]) * weight[i] / len(some)
                 grads[2] += g * feat
                 grads[3] += g
-                back = np.broadcast_to(g * net.out[FILTERS : 2 * FILTERS] / chunks, (chunks, FILTERS)).copy()
+                back = np.broadcast_to(g * net.out[FILTERS : 2 * FILTERS] / halves, (halves, FILTERS)).copy()
                 back[best, np.arange(FILTERS)] += g * net.out[:FILTERS]
                 back[top <= 0] = 0
                 grads[1] += back.sum(0)
-                places = (where + np.arange(chunks)[:, None] * CHUNK) * STRIDE
+                places = where * STRIDE
                 f = np.broadcast_to(np.arange(FILTERS), places.shape)
                 for j in range(WIDTH):
                     np.add.at(grads[0][j], (flat[places + j], f), back)
@@ -167,7 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Net:
     share = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     picks = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for q in (0, 1)]
     picked = picks[0].unionByName(picks[1])  # at most 2 * per_label rows of two numbers
-    rows = docs.select("doc_id", "text").filter(~fold()).join(F.broadcast(picked), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")).collect()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(~fold() & (F.octet_length("text") <= MOST_BYTES)).join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")
+    one_each = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = one_each.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").collect()  # at most 2 * per_label rows of MOST_BYTES
     rows.sort(key=lambda r: (r.doc_id, r.quality, r.text))
     net = train([r.text.encode() for r in rows], [r.quality for r in rows])
     if share.get(0) and share.get(1):
