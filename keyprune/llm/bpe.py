@@ -6,8 +6,9 @@ from a heap in order, all positions of a rank are merged together, and only the
 neighbours are looked up and indexed anew. No word is visited for a rank that it does not hold.
 
 Defined results: a null or empty text has no ids (decoded: the empty string); repeated rows are
-encoded each; an empty table gives an empty table; further columns are ignored by the digests and
-kept by `encode`. A very long word costs O(n log n).
+encoded each, null doc_ids kept; ties of rank go to the leftmost pair; an empty table gives an empty table; further
+columns are ignored by the digests and kept by `encode`, but for one that is named as its result (`token_ids`),
+which the result replaces; `decode` does the same. A very long word costs O(n log n).
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,23 +20,38 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared checkpoint folder. Where none is named, a temporary one on a local master (tests), and an error on a cluster."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder: computed once, and no lost executor loses it."""
+    """Cut the lineage by a Parquet table in the shared folder: computed once, and no lost executor loses it. `cleanup` deletes it."""
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    _STORED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cleanup(spark: SparkSession) -> int:
+    """Deletes the tables that `stored` has written in this process, once no result that reads them is needed; returns how many."""
+    done = 0
+    while _STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with batches bounded in bytes."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

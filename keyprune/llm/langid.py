@@ -6,8 +6,8 @@ distance between its two ranks (its place in the list being `SIZE` where the pro
 language with the smallest sum wins; ties go to the smallest name.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as is each text where no
-language was learned; repeated rows are judged each; an empty table gives an empty table; further columns
-are ignored. The score is the margin 1 - best / second distance (with one language: 1 - distance / largest).
+language was learned; repeated rows are judged each; very long texts count whole; an empty table gives an empty
+table; further columns, of whatever names, are ignored. The score is the margin 1 - best / second distance (with one language: 1 - distance / largest).
 """
 
 from __future__ import annotations
