@@ -10,8 +10,8 @@ similarity reaches num / den, that is when they share at least T = num (a + b) /
    in hashed slots of bounded number), so that passages shared by unlike documents gather nobody. Of the sets that
    share a posted shingle those are joined into blocks (connected components) whose sizes and parity sketches
    allow a link: a sketch has a bit for each hash slot, the parity of the set's shingles there, so that two
-   sets differ in at least as many shingles as their sketches in bits. No pairs leave a task, only trees; a
-   shingle of more than CROWD sets joins all of them.
+   sets differ in at least as many shingles as their sketches in bits. No pairs leave a task, only trees; the
+   sets of a shingle with more than CROWD of them are joined to the smallest one, in a join that no task does alone.
 3. In each block runs the T-occurrence search: for each set, its long inverted lists are laid aside (DivideSkip),
    the short ones are merged in a heap or, where they are many, by sorting, the sets that occur T - L times are
    kept, and the L long lists are probed for these by binary search. What reaches T is a link.
@@ -20,9 +20,10 @@ similarity reaches num / den, that is when they share at least T = num (a + b) /
 5. Components of the links.
 
 Defined results: a null text, or one without words, has no shingles and links with nothing; a text of fewer
-words than a shingle has one, of all its words; repeated rows are copies; null doc_ids never name a component
-unless all of it is null; an empty table gives an empty table; further columns are ignored or, in
-`keep_one`, kept. Hashes of 64 bits stand for shingles and sets.
+words than a shingle has one, of all its words; a very long text is one set; similarities equal to the bound link;
+repeated rows are copies; rows of null or repeated doc_ids take part by their texts, and a component is named by the
+smallest doc_id that is not null, or null; an empty table gives an empty table; further columns, of whatever names but
+those that start with `__keyprune_`, are ignored or, in `keep_one`, kept. Hashes of 64 bits stand for shingles and sets.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import heapq
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, mix64, parts, read, stored
@@ -46,6 +47,7 @@ SLOTS = 1 << 20
 CROWD = 1500
 #: Weight of a list's length in DivideSkip's choice of long lists.
 MU = 0.01
+_ID, _PLACE = "__keyprune_id", "__keyprune_place"
 
 
 class _Hashes(dict):
@@ -159,18 +161,18 @@ def _near(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _describe(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """One row for each document (doc_id, n, v, sketch), and rows (slot, hits) of a task: slots of shingles with unusually high counts, and
+    """One row for each document (doc_id, id: of doc_id and text, n, v, sketch), and rows (slot, hits) of a task: slots of shingles with unusually high counts, and
     from SLOTS on those of words that are not rare."""
 
-    names = ["doc_id", "n", "v", "slot", "hits", "sketch"]
+    names = ["doc_id", "id", "n", "v", "slot", "hits", "sketch"]
 
     def run(batches):
         cut_up = Shingler(words)
         counts, words_seen = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
         total = 0
         for b in batches:
-            ids, ns, vs, sketches = b.column(0), [], [], []
-            for t in b.column(1).to_pylist():
+            ns, vs, sketches = [], [], []
+            for t in b.column(2).to_pylist():
                 s = cut_up(t)
                 ns.append(len(s))
                 vs.append(vertex(s) if len(s) else None)
@@ -179,15 +181,20 @@ def _describe(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 np.add.at(counts, _slot(s), 1)
                 np.add.at(words_seen, _slot(cut_up.hashes), 1)
             none = pa.nulls(len(ns), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(vs, pa.int64()), none, none, pa.array(sketches, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ns, pa.int64()), pa.array(vs, pa.int64()), none, none, pa.array(sketches, pa.binary())], names=names)
         mean = total / SLOTS
         high = np.flatnonzero(counts > mean + 6 * np.sqrt(mean) + 6)
         known = np.flatnonzero(words_seen >= 2)
         none = pa.nulls(len(high) + len(known), pa.int64())
         slots, hits = np.concatenate((high, SLOTS + known)), np.concatenate((counts[high], words_seen[known]))
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(slots), pa.array(hits), pa.nulls(len(slots), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(slots), pa.array(hits), pa.nulls(len(slots), pa.binary())], names=names)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, v long, slot long, hits long, sketch binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), _id(), "text"), run, "doc_id long, id long, n long, v long, slot long, hits long, sketch binary")
+
+
+def _id() -> Column:
+    """What fetches a text again; a task that gets another text of the same hash drops it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("id")
 
 
 def _posts(docs: DataFrame, words: int, num: int, den: int, late: np.ndarray, common: np.ndarray) -> DataFrame:
@@ -292,13 +299,10 @@ def link(sets: list[np.ndarray], num: int, den: int) -> list[int]:
         token, n = np.unique(every, return_counts=True)
         weight = np.add.reduceat(n[np.searchsorted(token, every)], np.cumsum(sizes) - sizes)
         lead = int((weight / sizes).argmax())
-        rest = []
-        for i, s in enumerate(sets):
-            shared = len(np.intersect1d(s, sets[lead], assume_unique=True)) if i != lead else sizes[i]
-            if den * shared >= num * (sizes[i] + sizes[lead] - shared):
-                forest.join(i, lead)
-            else:
-                rest.append(i)
+        low, high = (int(np.searchsorted(sizes, x, side)) for x, side in ((-(-num * len(sets[lead]) // den), "left"), (den * len(sets[lead]) // num, "right")))
+        for i in Lists(sets, rest).search(sets[lead], low, high, sizes, num, den):
+            forest.join(i, lead)
+        rest = [i for i in rest if i != lead and forest.find(i) != forest.find(lead)]
     if rest:
         lists, inside = Lists(sets, rest), set(rest)
         for i, s in enumerate(sets):
@@ -310,7 +314,7 @@ def link(sets: list[np.ndarray], num: int, den: int) -> list[int]:
 
 
 def _search(docs: DataFrame, units: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Edges a, b of the links within each unit. units: unit, v, doc_id (a document of that vertex)."""
+    """Edges a, b of the links within each unit. units: unit, v, id (of a document of that vertex)."""
 
     def shingles(batches):
         cut_up = Shingler(words)
@@ -343,15 +347,15 @@ def _search(docs: DataFrame, units: DataFrame, words: int, num: int, den: int) -
         if len(vs) > 1:
             yield done(vs, sets)
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(units, "doc_id").select("unit", "v", "text")
+    texts = docs.select(_id(), "text").join(units, "id").select("unit", "v", "text")
     cut_texts = map_arrow(texts.repartition(2 * parts(docs.sparkSession), "unit").sortWithinPartitions("unit", "v"), lambda b: run(shingles(b)), "a long, b long")
     return cut_texts.filter("a != b")
 
 
-def groups(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+def _named(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """doc_id, id, n, root of each document; root is null without words."""
     described = stored(_describe(docs, words, num, den))
-    meta = described.filter("slot is null").select("doc_id", "n", "v", "sketch")
+    meta = described.filter("slot is null").select("doc_id", "id", "n", "v", "sketch")
     hits = described.filter("slot is not null").groupBy("slot").agg(F.sum("hits").alias("h"))
     hits = hits.toPandas()  # at most 2 * SLOTS rows
     slot, hit = hits.slot.to_numpy(np.int64), hits.h.to_numpy(np.int64)
@@ -361,24 +365,36 @@ def groups(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> Da
     posts = _posts(docs, words, num, den, late, common).repartition(parts(docs.sparkSession), "token")
     # tokens of one and the same group of sets: one of them stands for all
     shared = posts.groupBy("token").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("k"), F.sum(F.shiftright("v", 31)).alias("x")).filter("low != high")
-    shared = shared.groupBy("low", "high", "k", "x").agg(F.min("token").alias("token"))
+    shared = stored(shared.groupBy("low", "high", "k", "x").agg(F.min("token").alias("token")))
     drawn = meta.filter("v is not null").groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    near = _near(posts.join(shared.select("token"), "token").join(drawn, "v"), num, den)
+    few = posts.join(shared.filter(F.col("k") <= CROWD).select("token"), "token")
+    near = _near(few.join(drawn, "v"), num, den)
+    crowds = shared.filter(F.col("k") > CROWD).select("token", "low")
+    if crowds.limit(1).count():  # no task gets all sets of a frequent shingle: each set meets the smallest in a join
+        near = near.unionByName(posts.join(crowds, "token").filter("v != low").select(F.col("v").alias("a"), F.col("low").alias("b")))
     blocks = stored(components(near).select(F.col("node").alias("v"), F.col("root").alias("block")))
-    vertices = meta.filter("v is not null and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    vertices = meta.filter("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     members = stored(blocks.join(vertices, "v"))
     heavy = stored(members.groupBy("block").agg(F.ceil(F.sum("n") / UNIT).cast("int").alias("chunks")).filter("chunks > 1"))
     members = members.join(heavy, "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     chunk = F.pmod(F.xxhash64("v", F.lit(1)), F.col("chunks")).cast("int")
     chunk = F.when(F.col("v") == F.col("block"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk))
-    links = _search(docs, members.select(F.explode(chunk).alias("c"), "block", "v", "doc_id").select(F.xxhash64("block", "c").alias("unit"), "v", "doc_id"), words, num, den)
+    links = _search(docs, members.select(F.explode(chunk).alias("c"), "block", "v", "id").select(F.xxhash64("block", "c").alias("unit"), "v", "id"), words, num, den)
     if heavy.limit(1).count():
         links = stored(links)
         links = links.unionByName(_search(docs, _across(members.filter("chunks > 1"), components(links)), words, num, den))
     roots = components(links).select(F.col("node").alias("v"), "root")
-    meta = meta.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    names = meta.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return meta.join(names, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return stored(meta.join(roots, "v", "left").select("doc_id", "id", "n", F.coalesce("root", "v").alias("root")))
+
+
+def groups(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    named = _named(docs, words, num, den)
+    # stored, so that documents meet their names in a join of plain shuffles, which AQE splits where a component is large
+    names = stored(named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k")).filter("k > 1").drop("k"))
+    out = named.join(names, "root", "left")
+    # a document alone is its own component
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -391,16 +407,21 @@ def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
     pieces = others.groupBy("block").agg(F.ceil(F.sum("n") / UNIT).cast("int").alias("pieces"))
     own, others = own.join(pieces, "block"), others.join(pieces, "block")
     piece, chunk = F.pmod(F.xxhash64("v", F.lit(2)), F.col("pieces")).cast("int"), F.pmod(F.xxhash64("v", F.lit(1)), F.col("chunks")).cast("int")
-    a = own.select("block", "v", "doc_id", chunk.alias("c"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("q"))
-    b = others.select("block", "v", "doc_id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), piece.alias("q"))
-    return a.unionByName(b).select(F.xxhash64("block", "c", "q", F.lit(3)).alias("unit"), "v", "doc_id")
+    a = own.select("block", "v", "id", chunk.alias("c"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("q"))
+    b = others.select("block", "v", "id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), piece.alias("q"))
+    return a.unionByName(b).select(F.xxhash64("block", "c", "q", F.lit(3)).alias("unit"), "v", "id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """One row of each group of near copies, the one of the smallest doc_id; documents without words all stay."""
-    keep = groups(docs, words, num, den).filter((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(keep, docs.doc_id.eqNullSafe(F.col("__id"))).withColumn("__n", F.row_number().over(Window.partitionBy("__id").orderBy("text")))
-    return out.filter((F.col("__n") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    """One row of each group of near copies: that of the smallest doc_id (nulls last), and of the smallest hash among rows of one doc_id.
+    Documents without words all stay."""
+    named = _named(docs, words, num, den)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
+    kept = named.filter("root is not null").groupBy("root").agg(F.min(first).alias("f")).select(F.col("f.id").alias(_ID)).distinct()
+    keyed = docs.withColumn(_ID, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    wordless = named.filter("root is null").select(F.col("id").alias(_ID)).distinct()
+    one = keyed.join(kept, _ID, "left_semi").withColumn(_PLACE, F.row_number().over(Window.partitionBy(_ID).orderBy(F.lit(0)))).filter(F.col(_PLACE) == 1)
+    return one.select(*docs.columns).unionByName(keyed.join(wordless, _ID, "left_semi").select(*docs.columns))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -417,8 +417,8 @@ def spans(docs: DataFrame, length: int = LENGTH, base: int = BASE) -> DataFrame:
         hits = hits.unionByName(_crowded(different.filter("crowded"), length, base))
     own = chains.filter("d = rd and k = rk and at = rat").select("d", "k", "at", "n").unionByName(posted.filter("span is not null").select("d", "k", F.col("place").alias("at"), F.col("span").alias("n")))
     hits = hits.unionByName(own).withColumn("raw", F.lit(None).cast("binary")).unionByName(fetched.filter("anchor is null").select("d", "k", "at", "n", "raw"))
-    hits = hits.groupBy("d", "k").agg(F.collect_set(F.struct("at", "n", "raw")).alias(_HITS))
-    return keyed.join(hits, (F.col(_D) == F.col("d")) & (F.col(_K) == F.col("k")), "left").select(*docs.columns, _HITS)
+    hits = hits.groupBy(F.col("d").alias(_D), F.col("k").alias(_K)).agg(F.collect_set(F.struct("at", "n", "raw")).alias(_HITS))
+    return keyed.join(hits, [_D, _K], "left").select(*docs.columns, _HITS)
 
 
 def cover(raw: bytes, hits: list[dict] | None, length: int) -> np.ndarray:

@@ -10,6 +10,7 @@ from itertools import accumulate
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyprune.llm import bpe, cws, flac, jaccard, langid, maxent, mixing, quality, suffixes, urls
 
@@ -139,6 +140,137 @@ def test_strings_of_other_lengths(spark, length):
     assert _stripped(spark, rows, length) == _without_repeats(rows, length)
 
 
+def _components(rows, words, num, den):
+    """(n_shingles, smallest doc_id of the component) of each row, by comparing all pairs."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and den * len(a & sets[j]) >= num * len(a | sets[j]):
+                up[find(i)] = find(j)
+    named = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            named[find(i)] = min(doc, named.get(find(i), doc))
+    return [(doc, len(s), named.get(find(i)) if s else doc) for i, ((doc, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+def _near_copies(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    line = [word() for _ in range(30)]
+    rows = []
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(20, 120))] + line
+        for _ in range(rng.randint(1, 14)):
+            own = list(base)
+            for _ in range(rng.choice((0, 0, 1, 2, 4, 8))):
+                own[rng.randrange(len(own))] = word()
+            rows.append((len(rows), " ".join(own)))
+    rows += [(None, rows[0][1]), (None, rows[5][1] + " end"), (None, "alone with no id"), (3, "same id with another text"), rows[7], rows[7], (900, None), (901, " "), (902, "one"), (903, "ONE")]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("crowd", "unit", "words", "num", "den"), [(1500, 3_000_000, 3, 90, 100), (4, 3_000_000, 3, 90, 100), (4, 900, 3, 90, 100), (1500, 300, 5, 8, 10), (1500, 3_000_000, 5, 8, 10)])
+def test_jaccard_equals_all_pairs_also_where_blocks_are_cut(spark, monkeypatch, crowd, unit, words, num, den):
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "UNIT", unit)
+    rows = _near_copies(11)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.groups(df, words, num, den).collect()]
+    assert sorted(got, key=str) == sorted(_components(rows, words, num, den), key=str)
+
+
+def test_one_row_of_each_group_stays_whatever_its_doc_id(spark):
+    rows = _near_copies(12)
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = _components(rows, 5, 8, 10)
+    groups_ = {c for _, n, c in want if n and c is not None}
+    assert sorted(d for d, t in kept if t and t.strip() and d is not None) == sorted([*groups_, 3] if 3 in groups_ and (3, "same id with another text") in kept and len([d for d, _ in kept if d == 3]) == 2 else groups_)
+    assert ("alone with no id" in {t for d, t in kept if d is None}) and (900, None) in kept and (901, " ") in kept
+    assert (None, rows[[r[0] for r in rows].index(None)][1]) in rows
+
+
+CLASHES = ("target", "rest", "epochs", "before", "part", "size", "k", "K2", "token_ids", "root", "v", "n", "id", "anchor", "row", "s", "score", "hits", "word", "plan", "source_size")
+
+
+def test_stages_keep_columns_of_clashing_names(spark, docs):
+    """Each stage of the pipeline on documents with columns that share names with its own state."""
+    wide = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).drop("v")
+    for i, c in enumerate(CLASHES):
+        wide = wide.withColumn(c, F.concat(F.lit(f"{i}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    labels = spark.createDataFrame([(1, 1, 0), (7, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    net = quality.fit(wide, labels)
+    net.bias = 40.0
+    for out in (quality.keep_good(wide, net), jaccard.keep_one(wide), suffixes.strip(wide), mixing.mix(wide)):
+        assert out.columns == wide.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{i}:{r.doc_id}" for r in got for i, c in enumerate(CLASHES))
+    ids = bpe.encode(wide)
+    assert ids.columns == [c for c in wide.columns if c not in ("text", "token_ids")] + ["token_ids"]  # replaced, as its docstring says
+    assert all(isinstance(r.token_ids, list) and r["rest"] == f"1:{r.doc_id}" for r in ids.collect())
+    for out in (bpe.digests(wide), jaccard.groups(wide), suffixes.digests(wide), quality.score(wide, net), langid.predict(wide, langid.learn(wide)), mixing.shares(wide), cws.compare(wide), flac.digests(wide)):
+        assert out.count() == wide.count()
+    counts = maxent.count(wide)
+    vocab = maxent.vocabulary(counts)
+    assert maxent.score(wide, counts, vocab, maxent.train(wide, vocab, 1)).count() == wide.count()
+    pages = wide.select("doc_id", F.lit("http://a.b/c").alias("url"), *CLASHES).withColumnRenamed("doc_id", "page_id")
+    assert urls.judge(pages).count() == wide.count()
+
+
+def test_media_query_equals_the_plain_bytes(docs):
+    want = []
+    for doc, t, *_ in ROWS:
+        raw = (t or "").encode()
+        pay = raw + b"\xff" * ((-len(raw) % 576) or (0 if raw else 576))
+        x = np.frombuffer(pay, np.uint8).astype(np.int64) - 128
+        feature = f"n={len(x)};mean={x.mean():.6f};rms={math.sqrt((x * x).mean()):.6f};peak={abs(x).max()};zc={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
+        want.append((doc, len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:]), feature))
+    got = [(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) for r in flac.digests(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_language_profiles_equal_plain_counts(spark):
+    rng = random.Random(3)
+    texts = {k: ["".join(rng.choice(abc) for _ in range(rng.randint(0, 80))) for _ in range(15)] for k, abc in (("en", "abc de1"), ("de", "abxy zß"), (None, "qqq"))}
+    rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, ts in texts.items() for t in ts)] + [(99, None, "en"), (100, "12 3", "en")]
+    got = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 40)
+
+    def grams(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        s = f" {' '.join(words)} " if words else ""
+        out = Counter()
+        for n in (1, 2, 3):
+            out.update(g for i in range(len(s) - n + 1) if (g := s[i : i + n]) != " ")
+        return out
+
+    code = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(reversed(g)))
+    for k in ("en", "de"):
+        c = sum((grams(t) for _, t, lang in rows if lang == k and t is not None), Counter())
+        want = sorted(((-n, code(g)) for g, n in c.items()))[:40]
+        assert got[k] == [g for _, g in want]
+    tool = langid.Profiles(got, 40)
+    for _, t, _ in rows:
+        lang, score = tool.judge(t)
+        c = sorted(((-n, code(g)) for g, n in grams(t or "").items()))[:40]
+        if not c:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        apart = {k: sum(abs(got[k].index(g) - i) if g in got[k] else 40 for i, (_, g) in enumerate(c)) for k in ("de", "en")}
+        best = min(apart, key=lambda k: (apart[k], k))
+        assert lang == best and abs(score - (1 - apart[best] / max(apart.values()) if max(apart.values()) else 0)) < 1e-12
+
+
 def test_mixing_equals_sql_and_mix_takes_what_shares_say(spark, docs):
     out = mixing.shares(docs)
     c = duckdb.connect()
