@@ -95,10 +95,13 @@ def compare(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("next_text", F.lit("")), F.lit(1), half)))
     texts = rows.select("part", "rn", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x"))
     words = texts.select("part", "rn", F.col("x.kind").alias("kind"), F.explode(F.split(F.translate("x.t", _UPPER, _LOWER), _SPACE)).alias("w")).filter("w != ''")
-    prints = signatures(words.select("part", "rn", "kind", F.xxhash64("w").alias("word")), ["part", "rn"], 2, samples).withColumnsRenamed({"fingerprint_0": "fingerprint", "fingerprint_1": "edited_fingerprint"})
-    facts = rows.select("part", "rn", "head", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    out = facts.join(prints, ["part", "rn"], "left").withColumns({c: F.coalesce(c, F.lit("-")) for c in ("fingerprint", "edited_fingerprint")})
-    out = out.withColumn("__next", F.lead("fingerprint").over(Window.partitionBy("part").orderBy("rn"))).filter("head = 0")
+    prints = signatures(words.select("part", "rn", "kind", F.xxhash64("w").alias("word")), ["part", "rn"], 2, samples)
+    prints = prints.select("part", "rn", F.unhex("fingerprint_0").alias("own"), F.unhex("fingerprint_1").alias("other"))  # half the bytes to shuffle
+    facts = rows.select("part", "rn", "head", "doc_id", n.cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"))
+    out = facts.join(prints, ["part", "rn"], "left")
+    out = out.withColumn("next", F.lead("own").over(Window.partitionBy("part").orderBy("rn"))).filter("head = 0")
+    text = {to: F.coalesce(F.lower(F.hex(c)), F.lit("-")) for to, c in (("edited_sha256", "sha"), ("fingerprint", "own"), ("edited_fingerprint", "other"), ("__next", "next"))}
+    out = out.select("doc_id", "n_chars", *(c.alias(to) for to, c in text.items()))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), likeness(F.col("fingerprint"), F.col("__next"), samples).alias("near_next"))
 
 
