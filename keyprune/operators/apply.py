@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass, replace
+from datetime import datetime
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.fragments import Options, fragments, star_alias
-from ..plans.sql import ATTRIBUTE, Conjunct, Query, Unsupported, parse
+from ..functions.distances import planar_bounds
+from ..functions.graphs import diameter
+from ..plans.fragments import Fragment, Options, cell_sql, fragments, hash_of, spatial_fragments, star_alias, strictest
+from ..plans.sql import ATTRIBUTE, Conjunct, Query, Unsupported, _split, parse, render, starred, tokens
+from ..sources.folders import stamp
 from ..sources.store import TYPES, Store
-from .intersect import METHODS
+from . import spatial
+from .intersect import METHODS, by_semi_joins
 
 IN_LIST, VALUES, IN_SUBQUERY, TMP_TABLE_IN, TMP_TABLE_JOIN = "IN", "VALUES", "IN_SUBQUERY", "TMP_TABLE_IN", "TMP_TABLE_JOIN"
-#: Keys that an IN list or VALUES may hold; beyond it the keys stay a table.
+#: Keys that an IN list or VALUES may hold; beyond it the keys stay a table, and Stats.method says so.
 MOST_LITERALS = 10_000
+#: Up to so many sets meet in semi-joins, the smallest first, which Spark broadcasts where they are small; more are divided.
+FEW_SETS = 4
 
 
 @dataclass(frozen=True)
@@ -24,17 +33,37 @@ class Stats:
     cache_hits: int
     enhanced: bool
     p0_rewritten: bool = False
+    method: str | None = None  # the form that was used
+    reason: str = ""  # why the query ran as it is
+
+
+def stamps_of(spark: SparkSession, found: list[Fragment]) -> dict[str, str]:
+    """The stamp of each fragment's tables now."""
+    tables = {t: stamp(spark.table(t)) for t in {t for f in found for t in f.tables if t}}
+    return {f.hash: hash_of("".join(tables[t] for t in sorted(set(f.tables)))) if all(f.tables) else stamp(spark.sql(f.sql)) for f in found}
 
 
 def keys_for(store: Store, sql: str, partition_key: str, key: dict[str, str] | str, options: Options = Options(), encoding: str = "division") -> tuple[DataFrame | None, int, int]:
     """(keys, fragments generated, fragments found). No keys: nothing known. An empty set among the found makes it empty."""
+    keys, variants, hits, _ = _looked_up(store, sql, partition_key, key, options, encoding)
+    return keys, variants, hits
+
+
+def _looked_up(store: Store, sql: str, partition_key: str, key: dict[str, str] | str, options: Options, encoding: str) -> tuple[DataFrame | None, int, int, int]:
     found = fragments(sql, key, options, lookup=True)
-    sizes = store.usable([f.hash for f in found], partition_key)
+    named = store.usable([f.hash for f in found], partition_key)
+    found_here = [f for f in found if f.hash in named]
+    sizes = store.usable(list(named), partition_key, stamps_of(store.spark, found_here)) if named else {}
     if not sizes:
-        return None, len(found), 0
+        return None, len(found), 0, 0
     if 0 in sizes.values():
-        return store.spark.createDataFrame([], f"pk {TYPES[store.datatype(partition_key)]}"), len(found), len(sizes)
-    return METHODS[encoding](store.entries(partition_key, list(sizes)), len(sizes)), len(found), len(sizes)
+        return store.spark.createDataFrame([], f"pk {TYPES[store.datatype(partition_key)]}"), len(found), len(sizes), 0
+    used = sorted((f.hash for f in strictest([f for f in found_here if f.hash in sizes])), key=lambda h: (sizes[h], h))
+    if encoding == "division" and len(used) <= FEW_SETS:
+        keys = by_semi_joins([store.entries(partition_key, [h]).select("pk") for h in used])
+    else:
+        keys = METHODS[encoding](store.entries(partition_key, used), len(used))
+    return keys, len(found), len(sizes), sizes[used[0]]
 
 
 def with_hub(q: Query, hub_table: str, hub_key: str, alias: str = "p0") -> Query:
@@ -44,11 +73,12 @@ def with_hub(q: Query, hub_table: str, hub_key: str, alias: str = "p0") -> Query
     group = max(q.key_groups(), key=len)
     others = [c for c in q.conjuncts if not (c.kind == "key join" and c.aliases <= group)]
     joins = [Conjunct(f"{a}.{q.key[a]} = {alias}.{hub_key}", frozenset([a, alias]), "key join") for a in sorted(group) if a in q.key]
-    return replace(q, relations=q.relations | {alias: hub_table}, conjuncts=tuple(others + joins), key=q.key | {alias: hub_key})
+    return replace(starred(q), relations=q.relations | {alias: hub_table}, conjuncts=tuple(others + joins), key=q.key | {alias: hub_key})
 
 
-def restricted_sql(spark: SparkSession, q: Query, keys: DataFrame, method: str, only: str | None = None) -> str:
-    """The query's text with its tables held to the keys; views of random names carry the keys where the text cannot."""
+def restricted_sql(spark: SparkSession, q: Query, keys: DataFrame, method: str, only: str | None = None, root: str | None = None) -> tuple[str, str]:
+    """(the query's text with its tables held to the keys, the form used); views of random names carry the keys where the text cannot.
+    root: where the table forms write the keys, once for all tables that are held to them."""
     group = sorted(max(q.key_groups(), key=lambda g: (len(g & set(q.key)), sorted(g))) & set(q.key))
     targets = [only] if only else group
     if method in (IN_LIST, VALUES):
@@ -65,42 +95,117 @@ def restricted_sql(spark: SparkSession, q: Query, keys: DataFrame, method: str,
         else:
             inline = ", ".join(f"({x})" for x in literals)
             more = [Conjunct(f"{a}.{q.key[a]} IN (SELECT pk FROM VALUES {inline} AS v(pk))", frozenset([a]), ATTRIBUTE) for a in targets]
-        return replace(q, conjuncts=(*q.conjuncts, *more)).sql()
-    if method in (TMP_TABLE_IN, TMP_TABLE_JOIN):
-        keys = keys.distinct().persist()  # computed once for all tables that are held to it
+        return replace(q, conjuncts=(*q.conjuncts, *more)).sql(), method
+    if method in (TMP_TABLE_IN, TMP_TABLE_JOIN) and root:
+        keys.distinct().write.parquet(f"{root}/temporary/{name}")
+        keys = spark.read.schema(keys.schema).parquet(f"{root}/temporary/{name}")
     keys.createOrReplaceTempView(name)
     if method == TMP_TABLE_JOIN:
         joined = {f"{name}_{a}": name for a in targets}
         more = [Conjunct(f"{a}.{q.key[a]} = {name}_{a}.pk", frozenset([a]), ATTRIBUTE) for a in targets]
-        return replace(q, relations=q.relations | joined, conjuncts=(*q.conjuncts, *more)).sql()
+        return replace(starred(q), relations=q.relations | joined, conjuncts=(*q.conjuncts, *more)).sql(), method
     more = [Conjunct(f"{a}.{q.key[a]} IN (SELECT pk FROM {name})", frozenset([a]), ATTRIBUTE) for a in targets]
-    return replace(q, conjuncts=(*q.conjuncts, *more)).sql()
+    return replace(q, conjuncts=(*q.conjuncts, *more)).sql(), method
 
 
 def _literal(x: object) -> str:
-    if isinstance(x, bool | int | float):
+    if isinstance(x, float):
+        return f"{x!r}D" if math.isfinite(x) else f"DOUBLE('{x}')"
+    if isinstance(x, bool | int):
         return repr(x)
     if isinstance(x, str):
         return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return f"TIMESTAMP_NTZ '{x}'"
+    if isinstance(x, datetime):
+        return f"TIMESTAMP_NTZ '{x}'"
+    raise TypeError(f"no key of type {type(x).__name__}")
 
 
-def apply(store: Store, sql: str, partition_key: str, key: dict[str, str] | str, method: str = IN_SUBQUERY, options: Options = Options(min_size=2), encoding: str = "division", hub_table: str | None = None, hub_key: str | None = None) -> tuple[DataFrame, Stats]:
-    """The query's own rows, read from the allowed partitions only. Without hits, or where pruning would not be sound, the query as it is."""
+def apply(store: Store, sql: str, partition_key: str, key: dict[str, str] | str, method: str = IN_SUBQUERY, options: Options = Options(min_size=2), encoding: str = "division", hub_table: str | None = None, hub_key: str | None = None, hub_alias: str = "p0", total: int | None = None, most_share: float = 0.5) -> tuple[DataFrame, Stats]:
+    """The query's own rows, read from the allowed partitions only. Without hits, where pruning would not be sound, where the sets leave more
+    than most_share of `total` keys, or where the rewritten text does not parse, the query as it is."""
     spark = store.spark
     try:
         q = parse(sql, key)
-    except Unsupported:
-        return spark.sql(sql), Stats(0, 0, False)
-    keys, variants, hits = keys_for(store, sql, partition_key, key, options, encoding)
-    rewritten = with_hub(q, hub_table, hub_key or "pk") if hub_table else q
-    if keys is None:
-        return spark.sql(rewritten.sql() if rewritten is not q else sql), Stats(variants, 0, False, rewritten is not q)
-    only = "p0" if rewritten is not q else None
-    return spark.sql(restricted_sql(spark, rewritten, keys, method, only)), Stats(variants, hits, True, rewritten is not q)
-
-
-def selectivity(store: Store, keys: DataFrame, all_keys: DataFrame) -> float:
-    """The share of all partitions that is left; pruning pays where it is small."""
-    total = all_keys.select(F.count_distinct(all_keys.columns[0])).head()[0]
-    return keys.count() / total if total else 1.0
+    except Unsupported as e:
+        return spark.sql(sql), Stats(0, 0, False, reason=str(e))
+    keys, variants, hits, least = _looked_up(store, sql, partition_key, key, options, encoding)
+    rewritten = with_hub(q, hub_table, hub_key or "pk", hub_alias) if hub_table else q
+    hub = rewritten is not q
+    try:
+        if keys is None:
+            return spark.sql(rewritten.sql() if hub else sql), Stats(variants, 0, False, hub, reason="no set is known")
+        if total and least > most_share * total:
+            return spark.sql(sql), Stats(variants, hits, False, reason=f"{least} of {total} keys are left")
+        text, used = restricted_sql(spark, rewritten, keys, method, hub_alias if hub else None, store.root)
+        return spark.sql(text), Stats(variants, hits, True, hub, used)
+    except (ParseException, AnalysisException) as e:
+        return spark.sql(sql), Stats(variants, hits, False, reason=f"the rewritten text failed: {str(e)[:120]}")
+
+
+def register_distances(spark: SparkSession) -> None:
+    """DIST and ST_DWithin on planar coordinates, as SQL functions."""
+    far = "SQRT((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION DIST(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE) RETURNS DOUBLE RETURN {far}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION ST_DWithin(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, d DOUBLE) RETURNS BOOLEAN RETURN {far} <= d")
+
+
+def by_distance(spark: SparkSession, q: Query, geometry: dict[str, tuple[str, str]], cells: DataFrame | None = None, size: float = 1.0) -> DataFrame:
+    """The rows of a query whose tables are joined by planar distances, without a cross join: each further table meets, cell by cell of a
+    grid, those it must be near to. cells: keys of the cells that points may lie in. Tables are rows of structs, so that the query's own
+    texts apply."""
+    bounds = planar_bounds(q)
+
+    def one(a: str) -> DataFrame:
+        df = spark.table(q.relations[a]).select(F.struct("*").alias(a))
+        for c in q.conjuncts:
+            if c.aliases == {a}:
+                df = df.filter(c.text)
+        if cells is not None and a in {x for b in bounds for x in b[:2]}:
+            x, y = (f"{a}.{c}" for c in geometry[q.relations[a]])
+            df = df.join(cells.select(F.col("pk").alias("__cell")), F.expr(cell_sql(x, y, size)) == F.col("__cell"), "left_semi")
+        return df
+
+    left = list(q.relations)
+    first = bounds[0][0] if bounds else left[0]
+    out, have = one(first), {first}
+    left.remove(first)
+    said = [c for c in q.conjuncts if len(c.aliases) > 1]
+    while left:
+        near = next(((a, b, d) if a in have else (b, a, d) for a, b, d in bounds if (a in have) != (b in have)), None)
+        if not near:
+            raise Unsupported("tables that no distance joins")
+        old, new, d = near
+        xy = [tuple(f"{a}.{c}" for c in geometry[q.relations[a]]) for a in (old, new)]
+        out = spatial.near(out, one(new), d, *xy)
+        have.add(new)
+        left.remove(new)
+        for c in [c for c in said if c.aliases <= have]:
+            out = out.filter(c.text)
+            said.remove(c)
+    return out.selectExpr(*(render(p) for _, p in _split(tokens(starred(q).select.replace(".*", ".*")), {","})))
+
+
+def spatial_keys(store: Store, q: Query, name: str, geometry: dict[str, tuple[str, str]], size: float, options: Options = Options()) -> tuple[DataFrame | None, int, int]:
+    """(cells that points of the query's rows can lie in, fragments generated, found). Each fragment's cells are widened by the query's reach:
+    how far apart the points of one row can lie."""
+    bounds = planar_bounds(q)
+    found = spatial_fragments(q, geometry, size, bounds, options)
+    sizes = store.usable([f.hash for f in found], name, stamps_of(store.spark, found))
+    if not sizes:
+        return None, len(found), 0
+    far = diameter(bounds)
+    each = [spatial.widened(store.entries(name, [h]).select("pk"), far, size) for h in sizes]
+    keys = each[0]
+    for more in each[1:]:
+        keys = keys.join(more, "pk", "left_semi")
+    return keys, len(found), len(sizes)
+
+
+def apply_spatial(store: Store, sql: str, name: str, geometry: dict[str, tuple[str, str]], size: float, options: Options = Options()) -> tuple[DataFrame, Stats]:
+    """As `apply` for queries whose tables are joined by distances: their points are held to the cells that stored fragments allow."""
+    q = parse(sql, {})
+    bounds = planar_bounds(q)
+    if not bounds or q.tail or {x for b in bounds for x in b[:2]} != set(q.relations) or any(t not in geometry for t in q.relations.values()):
+        return store.spark.sql(sql), Stats(0, 0, False, reason="not all tables are joined by distances")
+    keys, variants, hits = spatial_keys(store, q, name, geometry, size, options)
+    return by_distance(store.spark, q, geometry, keys, size), Stats(variants, hits, keys is not None, method="cells" if hits else None)

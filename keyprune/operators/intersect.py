@@ -11,12 +11,25 @@ from ..sources.store import as_arrays, as_bitmaps, from_bitmaps
 
 
 def by_division(entries: DataFrame, n: int) -> DataFrame:
-    """Relational division: keys that stand in n sets. One shuffle, pre-aggregated."""
+    """Relational division: keys that stand in n sets. One shuffle, pre-aggregated; a single set is its own intersection."""
+    if n == 1:
+        return entries.select("pk")
     return entries.groupBy("pk").agg(F.count("*").alias("n")).filter(F.col("n") == n).select("pk")
 
 
-def by_arrays(entries: DataFrame) -> DataFrame:
-    sets = as_arrays(entries).agg(F.collect_list("pks").alias("all"))  # one array for each fragment
+def by_semi_joins(sets: list[DataFrame]) -> DataFrame:
+    """The first set held to the others, one after another."""
+    return reduce(lambda a, b: a.join(b, "pk", "left_semi"), sets)
+
+
+#: Salts over which an array form's keys are dealt.
+SALTS = 64
+
+
+def by_arrays(entries: DataFrame, n: int) -> DataFrame:
+    """Intersection of arrays: each set is dealt over SALTS arrays by a hash of the key, and the arrays of one salt meet in one row."""
+    salt = F.pmod(F.xxhash64("pk"), F.lit(SALTS)).alias("salt")
+    sets = entries.groupBy("query_hash", salt).agg(F.array_sort(F.collect_set("pk")).alias("pks")).groupBy("salt").agg(F.collect_list("pks").alias("all")).filter(F.size("all") == n)
     shared = F.aggregate(F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))), F.get("all", F.lit(0)), F.array_intersect)
     return sets.select(F.explode(shared).alias("pk"))
 
@@ -37,4 +50,4 @@ def envelopes(boxes: DataFrame, buffer: float = 0.0) -> DataFrame:
     return out.filter("xmin <= xmax and ymin <= ymax")
 
 
-METHODS = {"division": by_division, "arrays": lambda e, n: by_arrays(e), "bitmaps": by_bitmaps}
+METHODS = {"division": by_division, "arrays": by_arrays, "bitmaps": by_bitmaps}

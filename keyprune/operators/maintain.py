@@ -41,13 +41,31 @@ def overview(queries: DataFrame) -> DataFrame:
 
 
 def remove(store: Store, victims: DataFrame) -> int:
-    """Deletes the given sets; returns how many."""
+    """Deletes the given sets, with one note for each partition key; returns how many."""
     rows = victims.select("query_hash", "partition_key").collect()  # names of sets, not their keys
-    for r in rows:
-        store.delete(r.query_hash, r.partition_key)
+    for key in sorted({r.partition_key for r in rows}):
+        store.delete(*(r.query_hash for r in rows if r.partition_key == key), partition_key=key)
     return len(rows)
 
 
+def counts(store: Store) -> DataFrame:
+    """partition_key, datatype, and the number of sets of each state."""
+    states = store.queries().groupBy("partition_key").pivot("status", ["ok", "timeout", "failed", "null"]).count()
+    return store.partitions().join(states, "partition_key", "left").na.fill(0)
+
+
+def validate(store: Store) -> list[str]:
+    """What is wrong with a store: sets without rows where rows are counted, notes of unknown partition keys. Empty: nothing."""
+    wrong = []
+    types = {r.partition_key for r in store.partitions().collect()}
+    for (h, key), r in sorted(store._of().items()):
+        if key not in types:
+            wrong.append(f"{h}: partition key {key} is not registered")
+        elif r[3] == "ok" and f"{h}-{r[6]}" not in store._folders(f"entries/{key}"):
+            wrong.append(f"{h}: its rows are missing")
+    return wrong
+
+
 def prune(store: Store, now: str, days: int) -> int:
     return remove(store, older_than(store.queries(), now, days))
 

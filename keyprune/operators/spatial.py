@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,56 @@ def within(a: DataFrame, b: DataFrame, distance: float, a_xy: tuple[str, str], b
     return left.join(right.drop("__dx", "__dy"), ["__gx", "__gy"]).filter(F.sqrt(dx * dx + dy * dy) < distance).drop("__gx", "__gy")
 
 
+def near(a: DataFrame, b: DataFrame, distance: float, a_xy: tuple[str, str], b_xy: tuple[str, str]) -> DataFrame:
+    """Pairs that may lie within distance: as `within`, without the exact test."""
+    step = F.sequence(F.lit(-1), F.lit(1))
+    left = a.withColumns({"__gx": cell(F.col(a_xy[0]), distance), "__gy": cell(F.col(a_xy[1]), distance)})
+    right = b.withColumns({"__gx": cell(F.col(b_xy[0]), distance), "__gy": cell(F.col(b_xy[1]), distance)}).withColumn("__dx", F.explode(step)).withColumn("__dy", F.explode(step))
+    right = right.withColumns({"__gx": F.col("__gx") + F.col("__dx"), "__gy": F.col("__gy") + F.col("__dy")}).drop("__dx", "__dy")
+    return left.join(right, ["__gx", "__gy"]).drop("__gx", "__gy")
+
+
 def restrict(points: DataFrame, cell_rows: DataFrame, distance: float, size: float, x: str = "x", y: str = "y") -> DataFrame:
     """Points that can lie within distance of a point in the cells: a semi-join on the ring of cells."""
     keys = ring(cell_rows, distance, size)
     return points.withColumns({"gx": cell(x, size), "gy": cell(y, size)}).join(keys, ["gx", "gy"], "left_semi").drop("gx", "gy")
+
+
+def key_of(x: Column | str, y: Column | str, size: float) -> Column:
+    """A cell's key, as plans.fragments.cell_sql states it."""
+    return cell(x, size) * 4294967296 + cell(y, size) + 2147483648
+
+
+def cells_of(keys: DataFrame) -> DataFrame:
+    """gx, gy of cells' keys."""
+    return keys.select(F.shiftright("pk", 32).alias("gx"), (F.col("pk").bitwiseAND(F.lit(0xFFFFFFFF)) - 2147483648).alias("gy"))
+
+
+def widened(keys: DataFrame, distance: float, size: float) -> DataFrame:
+    """The keys of all cells within distance of the given ones."""
+    return ring(cells_of(keys), distance, size).select((F.col("gx") * 4294967296 + F.col("gy") + 2147483648).alias("pk"))
+
+
+def as_wkt(keys: DataFrame, size: float) -> DataFrame:
+    """pk, wkt: each cell as a polygon, counter-clockwise."""
+    c = cells_of(keys.select("pk")).select("gx", "gy")
+    edge = lambda g, d: ((F.col(g) + d) * size).cast("string")
+    corner = lambda x, y: F.concat(edge("gx", x), F.lit(" "), edge("gy", y))
+    ring_ = F.concat_ws(", ", *(corner(x, y) for x, y in ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5), (-0.5, -0.5))))
+    return c.select((F.col("gx") * 4294967296 + F.col("gy") + 2147483648).alias("pk"), F.concat(F.lit("POLYGON (("), ring_, F.lit("))")).alias("wkt"))
+
+
+def wkb_of_box(xmin: float, ymin: float, xmax: float, ymax: float) -> bytes:
+    """A rectangle in well-known binary: little-endian, one polygon of one ring."""
+    corners = (xmin, ymin, xmax, ymin, xmax, ymax, xmin, ymax, xmin, ymin)
+    return struct.pack("<BIII10d", 1, 3, 1, 5, *corners)
+
+
+def box_of_wkb(data: bytes) -> tuple[float, float, float, float]:
+    """The rectangle around a polygon's outer ring in well-known binary of either byte order."""
+    order = "<" if data[0] else ">"
+    kind, _, n = struct.unpack_from(order + "III", data, 1)
+    if kind != 3:
+        raise ValueError("not a polygon")
+    at = struct.unpack_from(f"{order}{2 * n}d", data, 13)
+    return min(at[::2]), min(at[1::2]), max(at[::2]), max(at[1::2])

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .engine import Engine, Partition
+from .engine import Engine, Grid, Partition
+from .functions import distances
 from .operators import apply as ap
 from .operators import intersect, maintain, spatial
 from .plans.fragments import Options, fragments
+from .plans.sql import clean, parse
 from .sources.external import register_tables
 from .sources.folders import shared_folder
 from .sources.store import as_arrays, as_bitmaps, from_bitmaps
@@ -30,9 +33,9 @@ WHERE n.n_nationkey = c.c_nationkey AND n.n_nationkey = s.s_nationkey AND c.c_ac
 GROUPED = """SELECT o.o_orderstatus, COUNT(*) AS n_lines, CAST(SUM(l.l_quantity) AS BIGINT) AS quantity FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
 WHERE o.o_totalprice > 400000 AND l.l_quantity >= 45 GROUP BY o.o_orderstatus"""
 NEAR = """SELECT a.vec_id AS a_id, b.vec_id AS b_id FROM points a, points b
-WHERE a.label = b.label AND a.vec_id % 3 = 0 AND b.vec_id % 3 = 1 AND DIST(a.x, a.y, b.x, b.y) BETWEEN 0.01 AND 0.05"""
-NEAR_WHOLE = """SELECT a.vec_id AS a_id, b.vec_id AS b_id FROM points a, points b
 WHERE a.label = b.label AND a.vec_id < b.vec_id AND DIST(a.x, a.y, b.x, b.y) BETWEEN 0.01 AND 0.05"""
+TRIPLES = """SELECT a.vec_id AS a_id, b.vec_id AS b_id, c.vec_id AS c_id FROM points a, points b, points c
+WHERE a.vec_id < b.vec_id AND b.vec_id < c.vec_id AND DIST(a.x, a.y, b.x, b.y) < 0.03 AND DIST(a.x, a.y, c.x, c.y) < 0.04"""
 POINTS = "(SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
 
 
@@ -71,21 +74,13 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
 
 
-def _bucketed(near: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    _points(spark, sf_dir).createOrReplaceTempView("points")
-    sql = next(f.sql for f in fragments(near, {"points": "label"}, Options(bucket_step=0.04, min_size=2)) if "BETWEEN 0 AND 0.08" in f.sql)
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION DIST(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE) RETURNS DOUBLE RETURN SQRT((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))")
-    return spark.sql(sql)
-
-
 def distance_bucket_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fragment of a distance query, its bounds widened to steps of 0.04."""
-    return _bucketed(NEAR, spark, sf_dir)
-
-
-def distance_bucket_normalized_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As above, over all pairs of points."""
-    return _bucketed(NEAR_WHOLE, spark, sf_dir)
+    """The fragment of a distance query over all pairs of points, its bounds widened to steps of 0.04; the pairs meet on a grid."""
+    _points(spark, sf_dir).createOrReplaceTempView("points")
+    ap.register_distances(spark)
+    f = next(f for f in fragments(NEAR, {"points": "label"}, Options(bucket_step=0.04, min_size=2)) if "BETWEEN 0 AND 0.08" in f.sql)
+    q = parse(f.sql, {"points": "label"})
+    return ap.by_distance(spark, replace(q, select=q.select.removeprefix("DISTINCT ")), {"points": ("x", "y")}).distinct()
 
 
 FRAGMENTS = fragments(FLAGSHIP, ORDER_KEY)
@@ -103,7 +98,8 @@ def intersect_division(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intersect_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intersect.by_arrays(_entries(spark, sf_dir)[1])
+    _, e, h = _entries(spark, sf_dir)
+    return intersect.by_arrays(e, len(h))
 
 
 def intersect_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +122,10 @@ def entry_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def copy_reencode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows to bitmaps to rows, arrays to rows: the same sets."""
-    e = _entries(spark, sf_dir)[1]
+    """The sets under another partition key; rows to bitmaps to rows, arrays to rows: the same sets."""
+    store = _entries(spark, sf_dir)[0].engine.store
+    store.copy("orderkey", "order_again")
+    e = store.entries("order_again")
     a = as_arrays(e).select("query_hash", F.explode("pks").alias("pk"))
     return from_bitmaps(as_bitmaps(e)).intersect(a.select("query_hash", F.col("pk").cast("long").alias("pk")))
 
@@ -169,49 +167,38 @@ def group_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _partition(spark, sf_dir, "orderkey", ORDER_KEY, GROUPED).run(GROUPED)[0]
 
 
-def distance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _points(spark, sf_dir)
-    a, b = (p.select(F.col("vec_id").alias(f"{s}_id"), F.col("label").alias(f"{s}_label"), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y")) for s in "ab")
-    d = F.sqrt((F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by")))
-    return a.join(b, (F.col("a_label") == F.col("b_label")) & (F.col("a_id") < F.col("b_id"))).filter(d < 0.05).select("a_id", "b_id")
-
-
-def _sided(p: DataFrame, side: str, rest: int) -> DataFrame:
-    return _side(p.filter(F.col("vec_id") % 5 == rest), side)
-
-
 def _side(p: DataFrame, side: str) -> DataFrame:
     return p.select(F.col("vec_id").alias(f"{side}_id"), F.col("label").alias(f"{side}_label"), F.col("x").alias(f"{side}x"), F.col("y").alias(f"{side}y"))
 
 
-def spatial_dwithin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A three-way self-join within distances, by the grid."""
-    p = _points(spark, sf_dir)
-    ab = spatial.within(_sided(p, "a", 0), _sided(p, "b", 1), 0.03, ("ax", "ay"), ("bx", "by"))
-    return spatial.within(ab, _sided(p, "c", 2), 0.04, ("ax", "ay"), ("cx", "cy")).select("a_id", "b_id", "c_id")
-
-
-def apply_spatial_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As above, c held to the cells that a pair (a, b) leaves."""
+def distance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one label within a distance, by the grid."""
     p = _points(spark, sf_dir)
-    ab = spatial.within(_sided(p, "a", 0), _sided(p, "b", 1), 0.03, ("ax", "ay"), ("bx", "by"))
-    c = spatial.restrict(_sided(p, "c", 2), spatial.cells(ab, 0.02, "ax", "ay"), 0.04, 0.02, "cx", "cy")
-    return spatial.within(ab, c, 0.04, ("ax", "ay"), ("cx", "cy")).select("a_id", "b_id", "c_id")
+    return spatial.within(_side(p, "a"), _side(p, "b"), 0.05, ("ax", "ay"), ("bx", "by")).filter("a_label = b_label AND a_id < b_id").select("a_id", "b_id")
 
 
-def spatial_dwithin_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three-way self-join over all points, each triple once, in ascending order."""
+def spatial_dwithin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three-way self-join over all points, each triple once, in ascending order, by the grid."""
     p = _points(spark, sf_dir)
     ab = spatial.within(_side(p, "a"), _side(p, "b"), 0.03, ("ax", "ay"), ("bx", "by")).filter("a_id < b_id")
     return spatial.within(ab, _side(p, "c"), 0.04, ("ax", "ay"), ("cx", "cy")).filter("b_id < c_id").select("a_id", "b_id", "c_id")
 
 
-def apply_spatial_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As above, c held to the cells that a pair (a, b) leaves."""
-    p = _points(spark, sf_dir)
-    ab = spatial.within(_side(p, "a"), _side(p, "b"), 0.03, ("ax", "ay"), ("bx", "by")).filter("a_id < b_id")
-    c = spatial.restrict(_side(p, "c"), spatial.cells(ab, 0.02, "ax", "ay"), 0.04, 0.02, "cx", "cy")
-    return spatial.within(ab, c, 0.04, ("ax", "ay"), ("cx", "cy")).filter("b_id < c_id").select("a_id", "b_id", "c_id")
+def _grid(spark: SparkSession, sf_dir: str) -> Grid:
+    _points(spark, sf_dir).createOrReplaceTempView("points")
+    grid = Engine(spark, options=Options(max_size=2)).grid("places", {"points": ("x", "y")}, 0.02)
+    grid.add(TRIPLES, workers=1)
+    return grid
+
+
+def apply_spatial_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same triples from the query's text: its points are held to the cells that the stored fragments of one and two tables leave."""
+    return _grid(spark, sf_dir).run(TRIPLES)[0]
+
+
+def grid_cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells of the grid each stored fragment has."""
+    return _grid(spark, sf_dir).engine.store.queries("places").select(F.when(F.col("query").contains("points t2"), "pair").otherwise("point").alias("fragment"), "n_keys").distinct()
 
 
 def bbox_grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,13 +212,7 @@ def bbox_envelope_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_partition_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _points(spark, sf_dir)
-    a, b = (p.filter(F.col("vec_id") % 4 == r).select(F.col("vec_id").alias(f"{s}_id"), F.col("label").alias(f"{s}_label"), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y")) for s, r in (("a", 0), ("b", 1)))
-    return spatial.within(a, b, 0.02, ("ax", "ay"), ("bx", "by")).filter("a_label != b_label").select("a_id", "b_id")
-
-
-def cross_partition_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As above, over all pairs of points."""
+    """Pairs of different labels within a distance, over all points."""
     p = _points(spark, sf_dir)
     return spatial.within(_side(p, "a"), _side(p, "b"), 0.02, ("ax", "ay"), ("bx", "by")).filter("a_label != b_label AND a_id < b_id").select("a_id", "b_id")
 
@@ -246,7 +227,9 @@ def _view_sql(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 STATS_SQL = "SELECT c_nationkey, COUNT(*) AS n, COUNT(DISTINCT c_mktsegment) AS n_segments, MIN(c_custkey) AS first_key, MAX(c_custkey) AS last_key, ROUND(AVG(c_acctbal), 4) AS mean_balance FROM customer GROUP BY c_nationkey HAVING COUNT(*) > 5"
 FULL_SQL = "SELECT COALESCE(c.k, s.k) AS k, COALESCE(c.n, 0) AS n_customers, COALESCE(s.n, 0) AS n_suppliers, CAST(c.n AS DOUBLE) / NULLIF(s.n, 0) AS density FROM (SELECT c_nationkey AS k, COUNT(*) AS n FROM customer WHERE c_acctbal > 8000 GROUP BY c_nationkey) c FULL OUTER JOIN (SELECT s_nationkey AS k, COUNT(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) s ON c.k = s.k"
-ILIKE_SQL = "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%steel%' OR p_name LIKE '%1%'"
+ILIKE_SQL = "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%mEd%' OR p_name LIKE '%red%'"
+MOMENTS_SQL = "SELECT c_nationkey, ROUND(STDDEV_SAMP(c_acctbal), 4) AS sd, ROUND(VAR_POP(c_acctbal), 2) AS var, MODE() WITHIN GROUP (ORDER BY c_mktsegment) AS segment FROM customer GROUP BY c_nationkey"
+LEFT_SQL = "SELECT c.c_custkey, COUNT(o.o_orderkey) AS n_orders FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000 GROUP BY c.c_custkey"
 
 
 def topk_per_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,6 +319,63 @@ def _with_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(next(f.sql for f in fragments(FLAGSHIP, ORDER_KEY, o) if "1-URGENT" in f.sql))
 
 
+STARRED = """SELECT * FROM customer c, orders o
+WHERE c.c_custkey = o.o_custkey AND c.c_mktsegment = 'BUILDING' AND c.c_acctbal > 5000 AND o.o_orderstatus = 'F' AND o.o_totalprice > 300000"""
+NULL_SAFE = """SELECT C.c_custkey, o.o_orderkey FROM customer c, orders O
+WHERE c.c_custkey = o.o_custkey AND c.c_mktsegment <=> 'BUILDING' AND o.o_totalprice > 400000L"""
+SEMI = "SELECT c.c_custkey, c.c_name FROM customer c LEFT SEMI JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000"
+
+
+def star_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SELECT * through a hub of all keys: no further columns."""
+    part = _partition(spark, sf_dir, "custkey", CUST_KEY, STARRED)
+    spark.table("customer").select(F.col("c_custkey").alias("pk")).distinct().createOrReplaceTempView("custkey_mv")
+    return part.run(STARRED, hub_table="custkey_mv")[0]
+
+
+def stale_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets that were stored while orders held less: not used once the table has grown."""
+    _tables(spark, sf_dir)
+    whole = spark.table("orders")
+    whole.filter("o_orderdate < '1995-01-01'").createOrReplaceTempView("orders")
+    part = Engine(spark).partition("orderkey", ORDER_KEY)
+    part.add(FLAGSHIP, workers=1)
+    whole.createOrReplaceTempView("orders")
+    return part.run(FLAGSHIP)[0]
+
+
+TEXTS = ("SELECT a FROM t -- note\nWHERE b = '--  y' ORDER BY a LIMIT 3;", "SELECT a FROM t WHERE NOT (x < 3 OR y > 1 + 2 * 3)", "SELECT `a` FROM t u WHERE 3 < u.a AND (u.p = 1 OR (u.q = 2 AND u.r = 3))")
+CLASSED = "SELECT * FROM u a JOIN o b ON a.k = b.k WHERE a.x = 1 AND a.k IN (1, 2) AND (a.x = 2 OR b.x = 3) AND a.id = b.uid AND DIST(a.x, b.x) < 2.5"
+BOUNDED = "SELECT * FROM t a, t b, t c WHERE DIST(a.x, b.x) < 400 AND DIST(a.x, c.x) <= 300 AND DIST(b.x, c.x) BETWEEN 5 AND 650"
+
+
+def cleaned_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(i, clean(t)) for i, t in enumerate(TEXTS)], "i int, cleaned string")
+
+
+def conjunct_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(c.text, c.kind) for c in parse(CLASSED, "k").conjuncts], "conjunct string, kind string")
+
+
+def distance_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounds of each pair of tables, and how far apart the points of one row can lie."""
+    q = parse(BOUNDED, "k")
+    return spark.createDataFrame([(a, b, d, distances.reach(q)) for a, b, d in distances.upper_bounds(q)], "a string, b string, bound double, reach double")
+
+
+_IN_BOTH = FLAGSHIP + " AND o.o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_tax > 0.07 INTERSECT SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)"
+
+
+def set_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store says of a set, a null marker, a timeout, and of a name that it does not know."""
+    store = Engine(spark).store
+    store.register("k", "integer")
+    store.put("set", spark.range(3), "k")
+    store.set_null("none", "k")
+    store.set_status("slow", "k", "timeout")
+    return spark.createDataFrame([(h, store.exists(h, "k"), store.exists(h, "k", True), store.is_null(h, "k"), bool(store.usable([h], "k"))) for h in ("set", "none", "slow", "other")], "name string, there boolean, known boolean, is_null boolean, usable boolean")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flagship": _applied(FLAGSHIP, ORDER_KEY, "orderkey", ap.IN_SUBQUERY),
     "apply_in_list": _applied(FLAGSHIP, ORDER_KEY, "orderkey", ap.IN_LIST),
@@ -343,6 +383,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "apply_in_subquery": _applied(CUSTOMERS, CUST_KEY, "custkey", ap.IN_SUBQUERY),
     "apply_tmp_table_in": _applied(CUSTOMERS, CUST_KEY, "custkey", ap.TMP_TABLE_IN),
     "apply_tmp_table_join": _applied(CUSTOMERS, CUST_KEY, "custkey", ap.TMP_TABLE_JOIN),
+    "star_tmp_join": _applied(STARRED, CUST_KEY, "custkey", ap.TMP_TABLE_JOIN),
+    "null_safe": _applied(NULL_SAFE, CUST_KEY, "custkey", ap.IN_SUBQUERY),
+    "semi_join": _applied(SEMI, CUST_KEY, "custkey", ap.IN_SUBQUERY),
+    "left_join_counts": _applied(LEFT_SQL, CUST_KEY, "custkey", ap.IN_SUBQUERY),
     "apply_star": _applied(STAR, NATION_KEY, "nationkey", ap.IN_SUBQUERY),
     "p0_rewrite": p0_rewrite,
     "group_pruned": group_pruned,
@@ -350,21 +394,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fragment_two_table": _fragment(CUSTOMERS, CUST_KEY, lambda f: len(f.tables) == 2, Options(follow_graph=False)),
     "fragment_star_join": _fragment(STAR, NATION_KEY, lambda f: len(f.tables) == 3, Options(follow_graph=False)),
     "fragment_pk_condition": _fragment(FLAGSHIP + " AND o.o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_tax > 0.07)", ORDER_KEY, lambda f: f.tables == ("orders",) and "l_tax" in f.sql),
+    "fragment_single_condition": _fragment(FLAGSHIP, ORDER_KEY, lambda f: f.tables == ("orders",) and "o_orderstatus" not in f.sql, Options(keep_all_attributes=False)),
+    "fragment_intersect_split": _fragment(_IN_BOTH, ORDER_KEY, lambda f: "s(pk)" in f.sql and "l_quantity > 40" in f.sql),
+    "constraint_removed_also": _fragment(FLAGSHIP, ORDER_KEY, lambda f: f.tables == ("orders",) and "o_totalprice" not in f.sql, Options(remove_also=("o_totalprice",))),
     "constraint_added": _with_constraint,
     "constraint_removed": _fragment(FLAGSHIP, ORDER_KEY, lambda f: f.tables == ("orders",), Options(remove_all=("o_orderstatus",))),
 }
 QUERIES |= {f.__name__: f for f in (distance_bucket_normalized, intersect_division, intersect_arrays, intersect_bitmap, intersect_sql, populate_entries, entry_cardinality, copy_reencode, export_roundtrip, filter_existing, all_queries, fragment_hash, fragment_bootstrap, distance_join, spatial_dwithin, apply_spatial_filter, bbox_grid_cells, bbox_envelope_intersection, cross_partition_pairs, topk_per_partition, evict_oldest, evict_largest, prune_old, large_entries, partition_overview, queue_dedup_priority, queue_top, queue_uncached, queue_cleanup_cached, queue_lengths, queue_cache_info, queue_streaming)}
-QUERIES |= {f.__name__: f for f in (distance_bucket_normalized_whole, spatial_dwithin_whole, apply_spatial_filter_whole, cross_partition_pairs_whole)}
-QUERIES |= {"group_having_stats": _view_sql(STATS_SQL), "density_full_outer": _view_sql(FULL_SQL), "ilike_filter": _view_sql(ILIKE_SQL)}
-
-_BOTH = [f.sql for f in FRAGMENTS]
-_NAMED = " UNION ALL ".join(f"SELECT '{f.hash}' AS query_hash, pk FROM ({f.sql})" for f in FRAGMENTS)
-_BOTH_SQL = " INTERSECT ".join(f"SELECT pk FROM ({s})" for s in _BOTH)
-_TEXTS = " UNION ALL ".join("SELECT '{}' AS query, '{}' AS query_hash".format(f.sql.replace("'", "''"), f.hash) for f in FRAGMENTS)
+QUERIES |= {f.__name__: f for f in (star_hub, stale_source, cleaned_queries, conjunct_classes, distance_reach, set_states, grid_cell_counts)}
+QUERIES |= {"group_having_stats": _view_sql(STATS_SQL), "density_full_outer": _view_sql(FULL_SQL), "ilike_filter": _view_sql(ILIKE_SQL), "group_moments": _view_sql(MOMENTS_SQL)}
+
+# written by hand, not by the code under test
+_LINES_TEXT = "SELECT DISTINCT t1.l_orderkey AS pk FROM lineitem t1 WHERE t1.l_discount >= 0.08 AND t1.l_quantity >= 45"
+_ORDERS_TEXT = "SELECT DISTINCT t1.o_orderkey AS pk FROM orders t1 WHERE t1.o_orderstatus = ''F'' AND t1.o_totalprice > 400000"
+_LINES_SQL = "SELECT DISTINCT l_orderkey AS pk FROM lineitem WHERE l_quantity >= 45 AND l_discount >= 0.08"
+_ORDERS_SQL = "SELECT DISTINCT o_orderkey AS pk FROM orders WHERE o_totalprice > 400000 AND o_orderstatus = 'F'"
+_BOTH_SQL = f"{_LINES_SQL} INTERSECT {_ORDERS_SQL}"
+_NAMED = f"SELECT sha1('{_LINES_TEXT}') AS query_hash, pk FROM ({_LINES_SQL}) UNION ALL SELECT sha1('{_ORDERS_TEXT}'), pk FROM ({_ORDERS_SQL})"
+_TEXTS = f"SELECT unnest(['{_LINES_TEXT}', '{_ORDERS_TEXT}']) AS query"
 _D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 _C = "sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y))"
-_THREE = f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, c.vec_id AS c_id FROM {POINTS} a, {POINTS} b, {POINTS} c WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 = 1 AND c.vec_id % 5 = 2 AND {_D} < 0.03 AND {_C} < 0.04"
-_THREE_WHOLE = f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, c.vec_id AS c_id FROM {POINTS} a, {POINTS} b, {POINTS} c WHERE a.vec_id < b.vec_id AND b.vec_id < c.vec_id AND {_D} < 0.03 AND {_C} < 0.04"
+_THREE = f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, c.vec_id AS c_id FROM {POINTS} a, {POINTS} b, {POINTS} c WHERE a.vec_id < b.vec_id AND b.vec_id < c.vec_id AND {_D} < 0.03 AND {_C} < 0.04"
+_CELL = "(floor({0}.x / 0.02 + 0.5), floor({0}.y / 0.02 + 0.5))"
 _OLD = "SELECT query_hash, partition_key FROM (SELECT *, count(*) OVER (PARTITION BY partition_key) AS n, row_number() OVER (PARTITION BY partition_key ORDER BY {}, query_hash) AS p FROM {}) WHERE p <= n - 100"
 
 ORACLE: dict[str, str] = {
@@ -378,21 +429,32 @@ ORACLE: dict[str, str] = {
     "fragment_pk_condition": "SELECT DISTINCT o_orderkey AS pk FROM orders WHERE o_totalprice > 400000 AND o_orderstatus = 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_tax > 0.07)",
     "constraint_added": "SELECT DISTINCT o_orderkey AS pk FROM orders WHERE o_totalprice > 400000 AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'",
     "constraint_removed": "SELECT DISTINCT o_orderkey AS pk FROM orders WHERE o_totalprice > 400000",
-    "distance_bucket_normalized": f"SELECT DISTINCT a.label AS pk FROM {POINTS} a, {POINTS} b WHERE a.label = b.label AND a.vec_id % 3 = 0 AND b.vec_id % 3 = 1 AND {_D} BETWEEN 0 AND 0.08",
+    "distance_bucket_normalized": f"SELECT DISTINCT a.label AS pk FROM {POINTS} a, {POINTS} b WHERE a.label = b.label AND a.vec_id < b.vec_id AND {_D} BETWEEN 0 AND 0.08",
     **dict.fromkeys(("intersect_division", "intersect_arrays", "intersect_bitmap", "intersect_sql"), _BOTH_SQL),
     **dict.fromkeys(("populate_entries", "copy_reencode", "export_roundtrip"), _NAMED),
     **dict.fromkeys(("entry_cardinality", "filter_existing"), f"SELECT query_hash, count(*) AS n_keys FROM ({_NAMED}) GROUP BY 1"),
-    "all_queries": f"SELECT query_hash, query FROM ({_TEXTS})",
-    "fragment_hash": f"SELECT query, query_hash, sha1(query) = query_hash AS same FROM ({_TEXTS})",
+    "all_queries": f"SELECT sha1(query) AS query_hash, query FROM ({_TEXTS})",
+    "fragment_hash": f"SELECT query, sha1(query) AS query_hash, true AS same FROM ({_TEXTS})",
+    **dict.fromkeys(("star_tmp_join", "star_hub"), STARRED),
+    "stale_source": FLAGSHIP,
+    "null_safe": "SELECT c_custkey, o_orderkey FROM customer, orders WHERE c_custkey = o_custkey AND c_mktsegment IS NOT DISTINCT FROM 'BUILDING' AND o_totalprice > 400000",
+    "semi_join": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
+    "left_join_counts": LEFT_SQL,
+    "fragment_single_condition": "SELECT DISTINCT o_orderkey AS pk FROM orders WHERE o_totalprice > 400000",
+    "fragment_intersect_split": "SELECT DISTINCT l_orderkey AS pk FROM lineitem WHERE l_quantity > 40",
+    "constraint_removed_also": "SELECT DISTINCT o_orderkey AS pk FROM orders WHERE o_orderstatus = 'F'",
+    "cleaned_queries": "SELECT * FROM (VALUES (0, 'SELECT a FROM t t WHERE b = ''--  y'''), (1, 'SELECT a FROM t t WHERE x >= 3 AND y <= 7'), (2, 'SELECT a FROM t u WHERE (u.p = 1 OR u.q = 2) AND (u.p = 1 OR u.r = 3) AND u.a > 3')) AS v(i, cleaned)",
+    "conjunct_classes": "SELECT * FROM (VALUES ('a.k = b.k', 'key join'), ('a.x = 1', 'attribute'), ('a.k IN (1, 2)', 'key'), ('(a.x = 2 OR b.x = 3)', 'or'), ('a.id = b.uid', 'edge'), ('DIST(a.x, b.x) < 2.5', 'edge')) AS v(conjunct, kind)",
+    "distance_reach": "SELECT * FROM (VALUES ('a', 'b', 400.0::DOUBLE, 650.0::DOUBLE), ('a', 'c', 300.0, 650.0), ('b', 'c', 650.0, 650.0)) AS v(a, b, bound, reach)",
+    "set_states": "SELECT * FROM (VALUES ('set', true, true, false, true), ('none', true, true, true, false), ('slow', false, true, false, false), ('other', false, false, false, false)) AS v(name, there, known, is_null, usable)",
+    "grid_cell_counts": f"SELECT 'point' AS fragment, count(DISTINCT {_CELL.format('a')}) AS n_keys FROM {POINTS} a UNION SELECT 'pair', count(DISTINCT {_CELL.format('a')}) FROM {POINTS} a, {POINTS} b WHERE a.vec_id < b.vec_id AND {_D} < 0.03 UNION SELECT 'pair', count(DISTINCT {_CELL.format('a')}) FROM {POINTS} a, {POINTS} b WHERE {_D} < 0.04",
+    "group_moments": "SELECT c_nationkey, round(sd, 4) AS sd, round(var, 2) AS var, segment FROM (SELECT c_nationkey, stddev_samp(c_acctbal) AS sd, var_pop(c_acctbal) AS var FROM customer GROUP BY 1) JOIN (SELECT c_nationkey, c_mktsegment AS segment FROM (SELECT c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, c_mktsegment) AS p FROM customer GROUP BY 1, 2) WHERE p = 1) USING (c_nationkey)",
     "fragment_bootstrap": "SELECT DISTINCT c_custkey AS pk FROM customer, orders WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING' AND c_acctbal > 5000 AND o_orderstatus = 'F' AND o_totalprice > 300000",
     "distance_join": f"SELECT a.vec_id AS a_id, b.vec_id AS b_id FROM {POINTS} a JOIN {POINTS} b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_D} < 0.05",
     **dict.fromkeys(("spatial_dwithin", "apply_spatial_filter"), _THREE),
     "bbox_grid_cells": f"SELECT floor(x / 0.05 + 0.5)::BIGINT AS gx, floor(y / 0.05 + 0.5)::BIGINT AS gy, count(*) AS n_points FROM {POINTS} GROUP BY 1, 2",
     "bbox_envelope_intersection": f"SELECT * FROM (SELECT max(x1 - 0.125) AS xmin, max(y1 - 0.125) AS ymin, min(x2 + 0.125) AS xmax, min(y2 + 0.125) AS ymax FROM (SELECT label, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM {POINTS} GROUP BY label)) WHERE xmin <= xmax AND ymin <= ymax",
-    "cross_partition_pairs": f"SELECT a.vec_id AS a_id, b.vec_id AS b_id FROM {POINTS} a, {POINTS} b WHERE a.vec_id % 4 = 0 AND b.vec_id % 4 = 1 AND a.label != b.label AND {_D} < 0.02",
-    "distance_bucket_normalized_whole": f"SELECT DISTINCT a.label AS pk FROM {POINTS} a, {POINTS} b WHERE a.label = b.label AND a.vec_id < b.vec_id AND {_D} BETWEEN 0 AND 0.08",
-    **dict.fromkeys(("spatial_dwithin_whole", "apply_spatial_filter_whole"), _THREE_WHOLE),
-    "cross_partition_pairs_whole": f"SELECT a.vec_id AS a_id, b.vec_id AS b_id FROM {POINTS} a, {POINTS} b WHERE a.vec_id < b.vec_id AND a.label != b.label AND {_D} < 0.02",
+    "cross_partition_pairs": f"SELECT a.vec_id AS a_id, b.vec_id AS b_id FROM {POINTS} a, {POINTS} b WHERE a.vec_id < b.vec_id AND a.label != b.label AND {_D} < 0.02",
     "topk_per_partition": "SELECT o_orderpriority, o_orderkey, place FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 3",
     "evict_oldest": _OLD.format("last_seen", NOTES),
     "evict_largest": _OLD.format("n_keys DESC", NOTES),
