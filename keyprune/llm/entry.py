@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix": mixing.OP7_SQL}
+    return {"op2_jaccard": jaccard.OP2_SQL, "op3_suffix": suffixes.OP3_SQL, "op6_urls": urls.OP6_SQL, "op7_mix": mixing.OP7_SQL}

@@ -426,3 +426,24 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> Da
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(read(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s
+  FROM cut),
+named AS (SELECT doc_id, len(s)::BIGINT AS n, s, md5(array_to_string(list_sort(s), chr(10))) AS v FROM sets),
+vertices AS (SELECT v, any_value(n) AS n, any_value(s) AS s FROM named WHERE n > 0 GROUP BY v),
+flat AS (SELECT v, n, unnest(s) AS x FROM vertices),
+links AS (
+  SELECT a.v AS a, b.v AS b FROM flat a JOIN flat b ON a.x = b.x AND a.v < b.v
+  GROUP BY a.v, b.v, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT v, v FROM vertices UNION SELECT r.a, e.b FROM reach r JOIN ways e ON r.b = e.a),
+components AS (SELECT r.a AS v, min(d.doc_id) AS c FROM reach r JOIN named d ON d.v = r.b GROUP BY r.a)
+SELECT doc_id, n AS n_shingles, CASE WHEN n > 0 THEN c ELSE doc_id END AS component_id FROM named LEFT JOIN components USING (v)
+"""

@@ -483,3 +483,24 @@ def strip(docs: DataFrame, length: int = LENGTH, base: int = BASE) -> DataFrame:
 
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH raw AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT r, p, substring(h, 2 * p + 1, 1198) AS h FROM (SELECT r, h, unnest(range(0, greatest(0, length(h) // 2 - 199), 400)) AS p FROM raw)),
+windows AS (
+  SELECT r, p + i AS i, md5(substring(h, 2 * i + 1, 400)) AS m
+  FROM (SELECT r, p, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM parts)),
+repeated AS (SELECT r, i FROM windows WHERE m IN (SELECT m FROM windows GROUP BY m HAVING count(*) > 1)),
+heads AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS head FROM repeated),
+numbered AS (SELECT r, i, sum(head) OVER (PARTITION BY r ORDER BY i) AS k FROM heads),
+spans AS (SELECT r, k, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY r, k),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS last FROM spans),
+kept AS (
+  SELECT r, string_agg(substring(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) + 1) AS kept,
+         sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM gaps JOIN raw USING (r) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM raw LEFT JOIN kept USING (r)
+"""

@@ -145,4 +145,51 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(read(spark, sf_dir, "pages"))
+    return judge(read(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
+
+
+def _order_sql(k: int) -> str:
+    """The counts of order k's contexts and grams, for OP6_SQL."""
+    part = f"substring(win, {ORDERS - k}, {{}})"
+    return f"""
+c{k} AS (SELECT {part.format(k)} AS x, sum(allow) AS a, sum(block) AS b FROM seen GROUP BY 1),
+g{k} AS (SELECT {part.format(k + 1)} AS x, sum(allow) AS a, sum(block) AS b FROM seen GROUP BY 1),
+p{k + 1} AS (SELECT p.win, (g.a + {SMOOTH} * p.pa) / (c.a + {SMOOTH}) AS pa, (g.b + {SMOOTH} * p.pb) / (c.b + {SMOOTH}) AS pb
+  FROM p{k} p JOIN c{k} c ON c.x = {part.format(k)} JOIN g{k} g ON g.x = {part.format(k + 1)}),"""
+
+
+OP6_SQL = f"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+fitted AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/de/8%' THEN 'example.net/de/8'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/7%' THEN 'example.com/en/7'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/es/%' THEN 'org/es/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/de/%' THEN 'net/de/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/en/%' THEN 'com/en/' END AS rule
+  FROM split),
+ruled AS (
+  SELECT *, CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled,
+         md5(host || path)[1] < '3' AS tried, repeat(chr(2), {ORDERS}) || host || path AS s
+  FROM fitted),
+places AS (SELECT r, ruled, tried, substring(s, i + 1, {ORDERS}) AS win FROM (SELECT *, unnest(range(1, length(s) - {ORDERS} + 1)) AS i FROM ruled)),
+seen AS (
+  SELECT win, count(*) FILTER (WHERE ruled = 'allow' AND NOT tried) AS allow, count(*) FILTER (WHERE ruled = 'block' AND NOT tried) AS block
+  FROM places GROUP BY win),
+p0 AS (SELECT win, 1.0::DOUBLE / 256 AS pa, 1.0::DOUBLE / 256 AS pb FROM seen),{"".join(map(_order_sql, range(ORDERS)))}
+ratios AS (SELECT win, round((ln(pa) - ln(pb)) * 68719476736.0)::BIGINT AS ratio FROM p{ORDERS}),
+scored AS (SELECT r, sum(ratio)::DOUBLE / 68719476736.0 / count(*) AS score FROM places JOIN ratios USING (win) GROUP BY r),
+judged AS (SELECT ruled.*, coalesce(score, 0.0) AS score FROM ruled LEFT JOIN scored USING (r)),
+held AS (SELECT count(DISTINCT ruled) = 2 AS enough FROM judged WHERE ruled IS NOT NULL AND tried),
+spread AS (
+  SELECT ruled, avg(score) AS mean, stddev_pop(score) AS sd FROM judged, held WHERE ruled IS NOT NULL AND (tried OR NOT enough) GROUP BY ruled),
+cut AS (
+  SELECT CASE WHEN a.mean IS NOT NULL AND b.mean IS NOT NULL THEN (a.mean * (b.sd + 1e-9) + b.mean * (a.sd + 1e-9)) / (a.sd + b.sd + 2e-9)
+              WHEN b.mean IS NOT NULL THEN 'Infinity'::DOUBLE ELSE '-Infinity'::DOUBLE END AS least
+  FROM (SELECT 1) LEFT JOIN spread a ON a.ruled = 'allow' LEFT JOIN spread b ON b.ruled = 'block')
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= least THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score
+FROM judged, cut
+"""

@@ -10,9 +10,10 @@ from itertools import accumulate
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from keyprune.llm import bpe, cws, flac, jaccard, langid, maxent, mixing, quality, suffixes, urls
+from keyprune.llm import bpe, cws, entry, flac, jaccard, langid, maxent, mixing, quality, suffixes, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, v string"
 LONG = " ".join(f"w{i}" for i in range(3000))
@@ -390,7 +391,7 @@ def test_url_scores_follow_exact_counts(spark):
     text = [u.partition("://")[2] for _, u in pages]
     counts = {v: Counter() for v in ("allow", "block")}
     for i, t in enumerate(text):
-        if "/fr/" not in t:
+        if "/fr/" not in t and hashlib.md5(t.encode()).hexdigest()[0] >= "3":  # the others are held out for the threshold
             s, n = "\x02" * 4 + t, counts["block" if "/en/" in t else "allow"]
             n.update((k, kind, s[j - k : j + (kind == "g")]) for j in range(4, len(s)) for k in range(4) for kind in "cg")
 
@@ -403,6 +404,76 @@ def test_url_scores_follow_exact_counts(spark):
     want = sorted((i, sum(log_p(counts["allow"], s, j) - log_p(counts["block"], s, j) for j in range(4, len(s))) / len(t)) for (i, _), t in zip(pages, text, strict=True) for s in ["\x02" * 4 + t])
     got = sorted((r.page_id, r.score) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect())
     assert [i for i, _ in got] == [i for i, _ in want] and all(abs(a - b) < 1e-8 for (_, a), (_, b) in zip(got, want, strict=True))
+    held = {v: [w for (_, w), t in zip(sorted(want), [text[i] for i, _ in sorted(want)], strict=True) if mark in t and hashlib.md5(t.encode()).hexdigest()[0] < "3"] for v, mark in (("allow", "/de/"), ("block", "/en/"))}
+    (a, c), (b, d) = ((sum(x) / len(x), math.sqrt(sum(y * y for y in x) / len(x) - (sum(x) / len(x)) ** 2)) for x in held.values())
+    least = (a * d + b * c) / (c + d)
+    found = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert all(found[i] == ("allow" if w >= least else "block") for i, w in want if "/fr/" in text[i] and abs(w - least) > 1e-6)
+
+
+def test_queries_equal_their_sql(spark):
+    for name, sql in entry.oracle_sql().items():
+        c = duckdb.connect()
+        for t in ("documents", "pages"):
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+        want = c.execute(sql)
+        names = [d[0] for d in want.description]
+        df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+        order = [names.index(x) for x in df.columns]
+        assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(str(tuple(r[i] for i in order)) for r in want.fetchall()), name
+
+
+def test_quality_rejects_held_out_junk_and_keeps_the_rest(spark):
+    """Held-out accuracy over whole tables, and equal scores from plain loops over filters, positions and chunks."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    out = [r for r in quality.op4_quality(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    right = [r.predicted == labels[r.doc_id] for r in out]
+    assert len(right) > 50 and sum(right) / len(right) > 0.97
+    good = [r.predicted for r in out if labels[r.doc_id] == 1]
+    assert sum(good) / len(good) > 0.98
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(1, 256, n).astype(np.uint8)) for n in (0, 1, 5, 600, 2000)] + [b"ab" * 400]
+    net = quality.train([b"good words here"] * 3 + [b"BAD BAD"] * 3, [1] * 3 + [0] * 3, epochs=2)
+    for t, got in zip(texts, net.features(texts), strict=True):
+        n = max(1, -(-len(t) // quality.STRIDE))
+        padded = t + bytes(n * quality.STRIDE + quality.WIDTH - len(t))
+        act = np.array([[net.shift[f] + sum(net.table[j, padded[quality.STRIDE * i + j], f] for j in range(quality.WIDTH)) for f in range(quality.FILTERS)] for i in range(n)])
+        chunks = np.array([np.maximum(act[a : a + quality.CHUNK].max(0), 0) for a in range(0, n, quality.HOP)])
+        assert np.allclose(got[: quality.FILTERS], chunks.max(0), atol=1e-4) and np.allclose(got[quality.FILTERS : 2 * quality.FILTERS], chunks.mean(0), atol=1e-4)
+
+
+def test_fingerprints_equal_a_plain_sampler(spark):
+    """Each draw worked out for every word, without the bound that passes words over."""
+    x64 = lambda b, seed=42: xxhash.xxh64_intdigest(b, seed)
+    pack = lambda h: h.to_bytes(8, "little")
+
+    def print_of(text):
+        words = Counter(text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split())
+        digits = []
+        for j in range(cws.SAMPLES):
+            best = None
+            for w, n in words.items():
+                one = x64(j.to_bytes(4, "little"), x64(pack(x64(w.encode()))))
+                two = x64(pack(one))
+                u = [(v + 0.5) / 2**32 for v in (one & 0xFFFFFFFF, one >> 32, two & 0xFFFFFFFF, two >> 32, x64(pack(two)) & 0xFFFFFFFF)]
+                r, log_c = -math.log(u[0] * u[1]), math.log(-math.log(u[2] * u[3]))
+                t = math.floor(math.log(n) / r + u[4])
+                log_a = log_c - r * (t - u[4]) - r
+                best = min(best or (math.inf, 0), (log_a, (two ^ t) & 0x7FFFFF))
+            digits.append(f"{best[1]:06x}")
+        return "".join(digits)
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefghij") + str(int(rng.random() ** 3 * 60)) for _ in range(rng.choice((3, 60, 500))))) for i in range(12)]
+    got = {r.doc_id: r for r in cws.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        after = rows[i - 1][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        a, b, c = print_of(t), print_of(edited), print_of(after)
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (a, b)
+        share = lambda p, q: sum(p[k : k + 6] == q[k : k + 6] for k in range(0, 6 * cws.SAMPLES, 6)) / cws.SAMPLES
+        assert got[i].near_edited == share(a, b) and got[i].near_next == share(a, c)
 
 
 def test_pipeline(spark):
