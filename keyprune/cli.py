@@ -81,7 +81,7 @@ def main(argv: list[str] | None = None) -> None:
         if a.command == "add":
             print("queued" if a.queue and part.enqueue(a.query) else json.dumps(part.add(a.query, force=a.force)))
         elif a.command == "run":
-            df, stats = part.run(a.query, a.method or chosen.method, encoding=chosen.encoding, most_share=chosen.most_share)
+            df, stats = part.run(a.query, a.method or chosen.method, encoding=chosen.encoding, most_share=chosen.most_share, least_bytes=chosen.least_bytes)
             for line in df.toJSON().toLocalIterator():
                 print(line)
             print(stats, file=sys.stderr)

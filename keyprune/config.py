@@ -14,6 +14,7 @@ class Settings:
     encoding: str = "division"
     method: str = "IN_SUBQUERY"
     most_share: float = 0.5
+    least_bytes: int = 256 << 20  # tables of fewer bytes are scanned as they are
     bucket_step: float = 1.0
     workers: int = 4
     timeout_s: float = 1800.0
@@ -24,7 +25,7 @@ class Settings:
             raise ValueError(f"unknown encoding {self.encoding}")
         if self.method not in ("IN", "VALUES", "IN_SUBQUERY", "TMP_TABLE_IN", "TMP_TABLE_JOIN"):
             raise ValueError(f"unknown method {self.method}")
-        if not 0 < self.most_share <= 1 or self.workers < 1 or self.timeout_s <= 0 or self.cell <= 0 or self.bucket_step < 0:
+        if not 0 < self.most_share <= 1 or self.least_bytes < 0 or self.workers < 1 or self.timeout_s <= 0 or self.cell <= 0 or self.bucket_step < 0:
             raise ValueError("a setting is out of its range")
 
 

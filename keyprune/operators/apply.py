@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 from dataclasses import dataclass, replace
@@ -16,7 +17,7 @@ from ..functions.graphs import diameter
 from ..plans.fragments import Fragment, Options, cell_sql, fragments, hash_of, spatial_fragments, star_alias, strictest
 from ..plans.sql import ATTRIBUTE, Conjunct, Query, Unsupported, _split, parse, render, starred, tokens
 from ..sources.folders import stamp
-from ..sources.store import TYPES, Store
+from ..sources.store import FEW, TYPES, Store
 from . import spatial
 from .intersect import METHODS, by_semi_joins
 
@@ -59,6 +60,9 @@ def _looked_up(store: Store, sql: str, partition_key: str, key: dict[str, str] |
     if 0 in sizes.values():
         return store.spark.createDataFrame([], f"pk {TYPES[store.datatype(partition_key)]}"), len(found), len(sizes), 0
     used = sorted((f.hash for f in strictest([f for f in found_here if f.hash in sizes])), key=lambda h: (sizes[h], h))
+    if encoding == "division" and sizes[used[0]] <= FEW and (small := [k for h in used if (k := store.few(h, partition_key)) is not None]):
+        # a small set bounds the keys by itself: no job looks them up
+        return local_keys(store.spark, frozenset.intersection(*small), store.datatype(partition_key)), len(found), len(sizes), sizes[used[0]]
     if encoding == "division" and len(used) <= FEW_SETS:
         keys = by_semi_joins([store.entries(partition_key, [h]).select("pk") for h in used])
     else:
@@ -66,6 +70,12 @@ def _looked_up(store: Store, sql: str, partition_key: str, key: dict[str, str] |
     return keys, len(found), len(sizes), sizes[used[0]]
 
 
+def local_keys(spark: SparkSession, keys: frozenset, datatype: str) -> DataFrame:
+    """Keys that the driver holds, as a table within the plan."""
+    text = json.dumps([x if isinstance(x, str) else x.isoformat() if isinstance(x, datetime) else repr(x) for x in sorted(keys)])
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), "array<string>").cast(f"array<{TYPES[datatype]}>")).alias("pk"))
+
+
 def with_hub(q: Query, hub_table: str, hub_key: str, alias: str = "p0") -> Query:
     """Key joins among the tables replaced by one join of each with a hub of all keys; a query that has a hub stays."""
     if star_alias(q, Options()) or alias in q.relations:
@@ -120,14 +130,17 @@ def _literal(x: object) -> str:
     raise TypeError(f"no key of type {type(x).__name__}")
 
 
-def apply(store: Store, sql: str, partition_key: str, key: dict[str, str] | str, method: str = IN_SUBQUERY, options: Options = Options(min_size=2), encoding: str = "division", hub_table: str | None = None, hub_key: str | None = None, hub_alias: str = "p0", total: int | None = None, most_share: float = 0.5) -> tuple[DataFrame, Stats]:
+def apply(store: Store, sql: str, partition_key: str, key: dict[str, str] | str, method: str = IN_SUBQUERY, options: Options = Options(min_size=2), encoding: str = "division", hub_table: str | None = None, hub_key: str | None = None, hub_alias: str = "p0", total: int | None = None, most_share: float = 0.5, least_bytes: int = 0) -> tuple[DataFrame, Stats]:
     """The query's own rows, read from the allowed partitions only. Without hits, where pruning would not be sound, where the sets leave more
-    than most_share of `total` keys, or where the rewritten text does not parse, the query as it is."""
+    than most_share of `total` keys, where the tables' files hold less than least_bytes (a plain scan then takes less than the lookup), or where
+    the rewritten text does not parse, the query as it is."""
     spark = store.spark
     try:
         q = parse(sql, key)
     except Unsupported as e:
         return spark.sql(sql), Stats(0, 0, False, reason=str(e))
+    if least_bytes and not hub_table and (size := bytes_of(spark, q)) < least_bytes:
+        return spark.sql(sql), Stats(0, 0, False, reason=f"tables of {size} bytes")
     keys, variants, hits, least = _looked_up(store, sql, partition_key, key, options, encoding)
     rewritten = with_hub(q, hub_table, hub_key or "pk", hub_alias) if hub_table else q
     hub = rewritten is not q
@@ -142,6 +155,11 @@ def apply(store: Store, sql: str, partition_key: str, key: dict[str, str] | str,
         return spark.sql(sql), Stats(variants, hits, False, reason=f"the rewritten text failed: {str(e)[:120]}")
 
 
+def bytes_of(spark: SparkSession, q: Query) -> int:
+    """What Spark's statistics say of the size of the query's tables."""
+    return sum(int(spark.table(t)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) for t in set(q.relations.values()))
+
+
 def register_distances(spark: SparkSession) -> None:
     """DIST and ST_DWithin on planar coordinates, as SQL functions."""
     far = "SQRT((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))"

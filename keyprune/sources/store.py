@@ -23,6 +23,10 @@ from .folders import fs_of
 
 OK, TIMEOUT, FAILED, NULL, DELETED = "ok", "timeout", "failed", "null", "deleted"
 TYPES = {"integer": "bigint", "float": "double", "text": "string", "timestamp": "timestamp_ntz", "geometry": "bigint"}
+#: Keys of a set that the driver may hold, and sets that it holds.
+FEW, HELD = 20_000, 50
+#: Seconds for which a listing of the notes holds; this process sees its own writes at once.
+LISTED_S = 0.5
 _QUERIES = "query_hash string, partition_key string, query string, status string, n_keys long, last_seen timestamp, version long, stamp string"
 _PARTITIONS = "partition_key string, datatype string, version long"
 
@@ -31,6 +35,8 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._known: dict[str, tuple[set[str], dict]] = {}
+        self._listed: dict[str, float] = {}
+        self._few: dict[tuple, frozenset] = {}
 
     # files
 
@@ -59,6 +65,9 @@ class Store:
     def _notes(self, name: str, schema: str) -> dict:
         """The newest note of each name; those of folders not seen before are read in one job."""
         seen, notes = self._known.setdefault(name, (set(), {}))
+        if time.monotonic() - self._listed.get(name, -1e9) < LISTED_S:
+            return notes
+        self._listed[name] = time.monotonic()
         fresh = self._folders(name) - seen
         if fresh:
             rows = self.spark.read.schema(schema).parquet(*(f"{self.root}/{name}/{x}" for x in sorted(fresh))).collect()  # a row for each version of a set, not its keys
@@ -69,6 +78,7 @@ class Store:
     def refresh(self) -> None:
         """Forget the notes in memory, after another process has compacted the store."""
         self._known.clear()
+        self._listed.clear()
 
     # partition keys
 
@@ -164,6 +174,18 @@ class Store:
             return self.spark.createDataFrame([], schema).select("query_hash", "pk")
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/entries/{partition_key}/{h}-{v}" for h, v in wanted)).select("query_hash", "pk")
 
+    def few(self, query_hash: str, partition_key: str) -> frozenset | None:
+        """A small set's keys on the driver, or None. Sets never change, so up to HELD sets of up to FEW keys stay in memory."""
+        row = self._one(query_hash, partition_key)
+        if not row or row[3] != OK or row[4] > FEW:
+            return None
+        name = (query_hash, partition_key, row[6])
+        if name not in self._few:
+            while len(self._few) >= HELD:
+                self._few.pop(next(iter(self._few)))
+            self._few[name] = frozenset(r.pk for r in self.entries(partition_key, [query_hash]).select("pk").collect())
+        return self._few[name]
+
     def get(self, query_hash: str, partition_key: str) -> DataFrame | None:
         return self.entries(partition_key, [query_hash]).select("pk") if query_hash in self.usable([query_hash], partition_key) else None
 
