@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and all but the last return the columns
 of documents. The n-gram Jaccard stage takes five words and a similarity of 0.8.
+
+Defined results, for every stage: a null or empty text has no bytes, words or ids (the classifier scores it as any other text, no copy of
+anything, nothing to strip, size 0, no ids); very long texts are worked on whole; similarities at the bound are links, scores at 0.5 are
+kept, equal mixing keys are taken in the order of doc_id and size; rows that repeat each other are copies, of which one stays; rows of null
+or repeated doc_ids take part by their texts; an empty table goes through as an empty table. Further columns are kept by all stages,
+whatever their names, but for `token_ids`, which the last stage replaces, and names that start with `__keyprune_`, which are reserved.
 """
 
 from __future__ import annotations
