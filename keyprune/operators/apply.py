@@ -157,7 +157,7 @@ def apply(store: Store, sql: str, partition_key: str, key: dict[str, str] | str,
 
 def bytes_of(spark: SparkSession, q: Query) -> int:
     """What Spark's statistics say of the size of the query's tables."""
-    return sum(int(spark.table(t)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) for t in set(q.relations.values()))
+    return sum(int(str(spark.table(t)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in set(q.relations.values()))
 
 
 def register_distances(spark: SparkSession) -> None:
