@@ -365,13 +365,13 @@ def _named(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     posts = _posts(docs, words, num, den, late, common).repartition(parts(docs.sparkSession), "token")
     # tokens of one and the same group of sets: one of them stands for all
     shared = posts.groupBy("token").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("k"), F.sum(F.shiftright("v", 31)).alias("x")).filter("low != high")
-    shared = stored(shared.groupBy("low", "high", "k", "x").agg(F.min("token").alias("token")))
+    shared = shared.groupBy("low", "high", "k", "x").agg(F.min("token").alias("token"))
     drawn = meta.filter("v is not null").groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     few = posts.join(shared.filter(F.col("k") <= CROWD).select("token"), "token")
     near = _near(few.join(drawn, "v"), num, den)
+    # no task gets all sets of a frequent shingle: each set meets the smallest in a join. One plan, so that all uses share the posts' shuffle
     crowds = shared.filter(F.col("k") > CROWD).select("token", "low")
-    if crowds.limit(1).count():  # no task gets all sets of a frequent shingle: each set meets the smallest in a join
-        near = near.unionByName(posts.join(crowds, "token").filter("v != low").select(F.col("v").alias("a"), F.col("low").alias("b")))
+    near = near.unionByName(posts.join(crowds, "token").filter("v != low").select(F.col("v").alias("a"), F.col("low").alias("b")))
     blocks = stored(components(near).select(F.col("node").alias("v"), F.col("root").alias("block")))
     vertices = meta.filter("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     members = stored(blocks.join(vertices, "v"))
