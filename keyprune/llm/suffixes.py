@@ -39,8 +39,8 @@ from .common import gather_index, map_arrow, mix64, parts, read, stored
 
 LENGTH = 200
 #: Bytes of text hashed together (positions take 20 bits), and of runs sorted together.
-BUFFER = 1 << 20
-SORT_BYTES = 1 << 20
+BUFFER = (1 << 20) - 1
+SORT_BYTES = 1 << 19
 #: Different runs of an anchor that one task sorts; windows of a block of a more frequent anchor.
 CROWD = 5000
 BLOCK = 16
@@ -63,6 +63,10 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 @cache
+def _kept_tables(size: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _tables(size, base)
+
+
 def _tables(size: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Upper and lower halves of the base's powers, and its inverse's powers."""
     out = []
@@ -79,10 +83,10 @@ class PrefixHash:
     """The polynomial hash modulo 2^61 - 1 of any substring of a buffer of up to 4 Mi bytes."""
 
     def __init__(self, flat: np.ndarray, base: int = BASE):
-        size = 1 << max(10, len(flat).bit_length())
+        size = 1 << max(20, len(flat).bit_length())
         if size > 1 << 23:
             raise ValueError("too long a buffer")
-        upper, lower, self.inverse = _tables(size, base)
+        upper, lower, self.inverse = (_kept_tables if size == 1 << 20 else _tables)(size, base)  # workers keep one size
         value = flat.astype(np.uint64) + np.uint64(1)
         one, two = np.cumsum(value * upper[: len(flat)]), np.cumsum(value * lower[: len(flat)])
         self.sums = np.zeros(len(flat) + 1, np.uint64)
