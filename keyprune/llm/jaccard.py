@@ -352,16 +352,22 @@ def _search(docs: DataFrame, units: DataFrame, words: int, num: int, den: int) -
     return cut_texts.filter("a != b")
 
 
-def _named(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, id, n, root of each document; root is null without words."""
-    described = stored(_describe(docs, words, num, den))
-    meta = described.filter("slot is null").select("doc_id", "id", "n", "v", "sketch")
+def _frequencies(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a slot's shingles stand in very many documents, and the magnitude of a slot's word counts."""
     hits = described.filter("slot is not null").groupBy("slot").agg(F.sum("hits").alias("h"))
     hits = hits.toPandas()  # at most 2 * SLOTS rows
     slot, hit = hits.slot.to_numpy(np.int64), hits.h.to_numpy(np.int64)
     late, common = np.zeros(SLOTS, bool), np.zeros(SLOTS, np.uint8)
     late[slot[slot < SLOTS]] = True
     common[slot[slot >= SLOTS] - SLOTS] = np.log2(hit[slot >= SLOTS]).astype(np.uint8)
+    return late, common
+
+
+def _named(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """doc_id, id, n, root of each document; root is null without words."""
+    described = stored(_describe(docs, words, num, den))
+    meta = described.filter("slot is null").select("doc_id", "id", "n", "v", "sketch")
+    late, common = _frequencies(described)
     posts = _posts(docs, words, num, den, late, common).repartition(parts(docs.sparkSession), "token")
     # tokens of one and the same group of sets: one of them stands for all
     shared = posts.groupBy("token").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("k"), F.sum(F.shiftright("v", 31)).alias("x")).filter("low != high")
