@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -55,7 +57,19 @@ def cleanup(spark: SparkSession) -> int:
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with batches bounded in bytes."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_released(fn), schema)
+
+
+def _released(fn):
+    """fn, after whose last batch a task's worker gives unused memory back: workers serve later stages, too."""
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another libc keeps it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
 
 
 def parts(spark: SparkSession) -> int:
