@@ -1,5 +1,6 @@
 import json
 import random
+import re
 import time
 
 import duckdb
@@ -202,3 +203,46 @@ def test_settings_and_other_databases(spark):
     assert fast.run("SELECT COUNT(*) AS n FROM nation").head().n == 25 and fast.run("SELECT * FROM no_such_table").count() == 1
     assert (fast.statistics()["accelerated"], fast.statistics()["fell_back"], list(fast.statistics()["preloaded"])) == (1, 1, ["nation"])
     fast.close()
+
+
+def _moves_pairs(df) -> bool:
+    """Whether rows that an inner join has made are dealt anew."""
+    above: list[tuple[int, str]] = []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [x for x in above if x[0] < depth]
+        if re.search(r"Join .*Inner", line) and any("Exchange" in x for _, x in above):
+            return True
+        above.append((depth, line))
+    return False
+
+
+@pytest.fixture
+def odd_points(spark, tmp_path):
+    """Copies of a point, repeated ids, points without coordinates or id, NaN; no table is broadcast."""
+    rng = random.Random(3)
+    made = [(i, [rng.uniform(-0.1, 0.1), rng.uniform(-0.1, 0.1)], i % 3) for i in range(60)] + [(100 + i, [0.03, 0.05], 1) for i in range(12)]
+    made += [(7, [0.02, 0.01], 0), (7, [0.02, 0.01], 0), (None, [0.01, 0.01], 0), (200, None, 1), (201, [0.01], 1), (202, [float("nan"), 0.0], 2)]
+    spark.createDataFrame(made, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield str(tmp_path)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _triples(path: str) -> list:
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet/*.parquet'")
+    return sorted(con.execute(Q.ORACLE["spatial_dwithin"]).fetchall(), key=str)
+
+
+def test_spatial_filter_moves_no_pairs(spark, odd_points):
+    df = Q.QUERIES["apply_spatial_filter"](spark, odd_points)
+    assert rows(df) == _triples(odd_points) != [] and not _moves_pairs(df)
+
+
+def test_chains_of_distances_equal_brute_force(spark, odd_points):
+    grid = Q._grid(spark, odd_points)
+    near = " AND ".join(f"DIST({a}.x, {a}.y, {b}.x, {b}.y) <= 0.02" for a, b in ("ab", "bc", "cd"))
+    sql = f"SELECT a.vec_id AS a, b.vec_id AS b, c.vec_id AS c, d.vec_id AS d FROM points a, points b, points c, points d WHERE {near} AND a.vec_id < d.vec_id"
+    found, stats = grid.run(sql)
+    assert rows(found) == rows(spark.sql(sql)) != [] and stats.reason == ""
