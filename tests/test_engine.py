@@ -246,3 +246,8 @@ def test_chains_of_distances_equal_brute_force(spark, odd_points):
     sql = f"SELECT a.vec_id AS a, b.vec_id AS b, c.vec_id AS c, d.vec_id AS d FROM points a, points b, points c, points d WHERE {near} AND a.vec_id < d.vec_id"
     found, stats = grid.run(sql)
     assert rows(found) == rows(spark.sql(sql)) != [] and stats.reason == ""
+
+
+def test_spatial_dwithin_moves_no_pairs(spark, odd_points):
+    df = Q.QUERIES["spatial_dwithin"](spark, odd_points)
+    assert rows(df) == _triples(odd_points) != [] and not _moves_pairs(df)
