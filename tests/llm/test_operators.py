@@ -326,6 +326,17 @@ def test_lm_base_scores(docs):
     out = maxent.score(docs, counts, vocab, maxent.train(learned, vocab)).collect()
     assert sorted((r.n_tokens, r.n_known, round(r.base_score, 4)) for r in out) == want and all(r.score < 0 for r in out)
 
+def test_lm_words_outside_the_head_are_scored_the_same(spark, docs):
+    """The head bounds what tasks hold: all other words meet the same counts in a join, and no score depends on where it ends."""
+    learned = docs.filter(~maxent.fold(modulus=7, remainder=2))
+    counts = maxent.count(learned)
+    whole = maxent.vocabulary(counts)
+    small = maxent.vocabulary(counts, head=len(whole.keys) - 1)
+    model = maxent.train(learned, whole)
+    assert maxent.SINGLES <= len(small.keys) < len(whole.keys) and small.told == whole.told
+    found = [sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in maxent.score(docs, counts, v, model).collect()) for v in (whole, small)]
+    assert found[0] == found[1]
+
 
 def _prose(n, seed):
     rng = random.Random(seed)
