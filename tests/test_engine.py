@@ -251,3 +251,42 @@ def test_chains_of_distances_equal_brute_force(spark, odd_points):
 def test_spatial_dwithin_moves_no_pairs(spark, odd_points):
     df = Q.QUERIES["spatial_dwithin"](spark, odd_points)
     assert rows(df) == _triples(odd_points) != [] and not _moves_pairs(df)
+
+
+def _generates(df) -> list[str]:
+    """The fused loops of Spark, by number, that take arrays of a run query's last plan apart."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [m or "none" for m in re.findall(r"(?:\*\((\d+)\) )?Generate (?:pos)?explode\((?:__[bc]|bs|cs)#", text)]
+
+
+def test_spatial_filter_holds_one_array_at_a_time(spark, odd_points):
+    df = Q.QUERIES["apply_spatial_filter"](spark, odd_points)
+    loops = _generates(df)
+    assert len(loops) == 2 == len(set(loops))
+    # what can be said of a row and the first table is said before arrays are taken apart; what is not selected does not go on
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    apart = plan[: plan.index("Join")]
+    assert apart.count("SQRT") == 2 and not re.search(r"^\W*Filter.*SQRT", apart, re.M) and re.search(r"a#\d+\.vec_id < lambda c#\d+\.vec_id", apart)
+
+
+def test_distance_queries_with_other_conditions_equal_brute_force(spark, odd_points):
+    grid = Q._grid(spark, odd_points)
+    near = "DIST(a.x, a.y, b.x, b.y) BETWEEN 0.005 AND 0.03 AND ST_DWithin(a.x, a.y, c.x, c.y, 0.04)"
+    for sql in (
+        f"SELECT a.vec_id AS a, b.* , c.label AS l FROM points a, points b, points c WHERE {near} AND a.vec_id >= b.vec_id AND c.vec_id <= b.vec_id",
+        f"SELECT a.vec_id AS a, b.vec_id AS b FROM points a, points b, points c WHERE {near} AND a.label + b.label > c.label AND B.label <> c.label",
+        f"SELECT c.vec_id AS c, c.x - a.y AS z FROM points a, points b, points c WHERE {near} AND a.vec_id < b.vec_id AND b.vec_id < c.label * 100 AND DIST(b.x, b.y, c.x, c.y) > 0.01",
+        f"SELECT b.vec_id FROM points a, points b, points c WHERE {near} AND a.label = c.label AND coalesce(a.vec_id, 1) = coalesce(c.vec_id, 1)",
+    ):
+        found, stats = grid.run(sql)
+        assert rows(found) == rows(spark.sql(sql)) != [] and stats.reason == "", sql
+
+
+def test_fragments_of_distances_make_no_pairs(spark, odd_points):
+    df = Q.QUERIES["distance_bucket_normalized"](spark, odd_points)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{odd_points}/embeddings.parquet/*.parquet'")
+    assert rows(df) == sorted(con.execute(Q.ORACLE["distance_bucket_normalized"]).fetchall(), key=str) != []
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan[: plan.index("Join")] and "exists(" in plan
