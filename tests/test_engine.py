@@ -290,3 +290,8 @@ def test_fragments_of_distances_make_no_pairs(spark, odd_points):
     assert rows(df) == sorted(con.execute(Q.ORACLE["distance_bucket_normalized"]).fetchall(), key=str) != []
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan[: plan.index("Join")] and "exists(" in plan
+
+
+def test_spatial_dwithin_holds_one_array_at_a_time(spark, odd_points):
+    loops = _generates(Q.QUERIES["spatial_dwithin"](spark, odd_points))
+    assert len(loops) == 2 == len(set(loops))
